@@ -1,11 +1,60 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: each stage works on all that the one before it kept, and its decisions take effect.
 
-STAGES: list = []
+Every stage but the last returns the columns of documents. `run` applies the stages in memory of Spark's plan; the driver
+writes each stage's rows and reads them again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandweave.llm import common, language_id, mixing, packing, shingle_join, suffix_dedup
+from strandweave.llm.queries import TOKENIZER
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a learned language with a score of at least 0.5; those without a letter go."""
+    return language_id.filter_known(docs, language_id.fit(docs), least=0.5)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8. Those without words stay."""
+    groups = shingle_join.jaccard_components(docs, words=5, num=80, den=100)
+    first = groups.filter("n_shingles = 0 OR doc_id <=> component_id").select("doc_id").distinct()
+    # A doc_id that occurs twice is one document here.
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if shingle_join._repeats(docs) else kept
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes that recur are cut out wherever they stand; a document of which nothing is left goes."""
+    return suffix_dedup.strip_repeats(docs, length=400)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: a document is there as often as it is taken."""
+    return mixing.apply_mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("suffix_array_dedup", without_repeats),
+    ("source_mixing", mixed),
+    ("best_fit_packing", packed),
+]
+#: The language model, the components and the packing can't be told in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id"), "offset")
