@@ -172,15 +172,16 @@ def _opener(num: int, den: int):
     """Queries against one group: the union's bound first, then the members; links between different components."""
 
     def run(key, asked, held):
-        nodes, singles = held.column("node").to_pylist(), held.column("single")[0].as_py() if held.num_rows else False
+        nodes, comps = held.column("node").to_pylist(), held.column("comp").to_pylist()
+        large = bool(held.num_rows) and held.column("large")[0].as_py()
         sets = [np.sort(np.array(t, np.int64)) for t in held.column("tokens").to_pylist()]
         a, b = [], []
         if asked.num_rows and sets:
             union = np.unique(np.concatenate(sets))
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            flat = np.concatenate(sets)
-            place = np.searchsorted(union, flat)
-            for q, tokens in zip(asked.column("node").to_pylist(), asked.column("tokens").to_pylist(), strict=True):
+            place = np.searchsorted(union, np.concatenate(sets))
+            sizes = np.array([len(s) for s in sets])
+            for q, c, tokens in zip(*(asked.column(x).to_pylist() for x in ("node", "comp", "tokens")), strict=True):
                 n = len(tokens)
                 query = np.array(tokens, np.int64)
                 at = np.minimum(np.searchsorted(union, query), len(union) - 1)
@@ -190,10 +191,13 @@ def _opener(num: int, den: int):
                 mine = np.zeros(len(union), bool)
                 mine[at[hit]] = True
                 overlap = np.bincount(owner[mine[place]], minlength=len(sets))
-                linked = [nodes[j] for j, (o, s) in enumerate(zip(overlap.tolist(), sets, strict=True)) if den * o >= num * (n + len(s) - o) and nodes[j] != q]
-                for m in linked if singles else linked[:1]:
-                    a.append(q)
-                    b.append(m)
+                seen = {c}
+                for j in np.flatnonzero(den * overlap >= num * (n + sizes - overlap)).tolist():
+                    # Of two sets in small components, each asks the other's group; one of them is enough.
+                    if comps[j] not in seen and (large or q < nodes[j]):
+                        seen.add(comps[j])
+                        a.append(q)
+                        b.append(nodes[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -216,9 +220,11 @@ def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> D
     each = small.join(rows, "node", "left").withColumn("dup", F.coalesce(F.transform("dup", lambda x: x["token"]), F.array().cast("array<long>")))
     # The order: tokens of one set alone, of which nothing comes, then by number of sets, then hot ones, then the others.
     each = each.withColumn("left", F.col("need") - (F.col("n_counted") - F.size("dup")))
-    each = each.filter("left > 0").select("node", F.concat(F.slice("dup", 1, F.greatest(F.col("left"), F.lit(0))), F.when(F.col("left") > F.size("dup"), F.slice("shared", 1, F.greatest(F.col("left") - F.size("dup"), F.lit(1)))).otherwise(F.array().cast("array<long>")), F.when(F.col("left") > F.size("dup") + F.size("shared"), F.col("beyond")).otherwise(F.array().cast("array<long>"))).alias("tokens"))
-    lists = common.stored(each.select("node", F.explode("tokens").alias("token")), "shingle-prefixes")
-    lead = lists.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").drop("last")
+    # How many of its tokens no other set has: a group's leader is one with few, such as the text that copies were made of.
+    lonely = ((F.col("n_counted") - F.size("dup")) / F.greatest(F.col("n_counted") + F.size("shared"), F.lit(1))).alias("lonely")
+    each = each.filter("left > 0").select("node", lonely, F.concat(F.slice("dup", 1, F.greatest(F.col("left"), F.lit(0))), F.when(F.col("left") > F.size("dup"), F.slice("shared", 1, F.greatest(F.col("left") - F.size("dup"), F.lit(1)))).otherwise(F.array().cast("array<long>")), F.when(F.col("left") > F.size("dup") + F.size("shared"), F.col("beyond")).otherwise(F.array().cast("array<long>"))).alias("tokens"))
+    lists = common.stored(each.select("node", "lonely", F.explode("tokens").alias("token")), "shingle-prefixes")
+    lead = lists.groupBy("token").agg(F.min(F.struct("lonely", "node"))["node"].alias("lead"), F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("token", "lead")
     named = lists.join(lead, "token").groupBy("node", "lead").agg(F.count("*").alias("n"))
     named = named.groupBy("node").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
     chosen = named.join(nodes.select(F.col("row").alias("node"), "doc_id", "digest", "n"), "node")
@@ -232,31 +238,37 @@ def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> D
     # What tokens still join different components.
     label = components(found)
     known = full.select("node", "lead", "n").join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    sizes = known.groupBy("comp").agg(F.count("*").alias("members"))
-    known = known.join(sizes, "comp")
-    known = known.withColumn("single", F.col("members") == 1)
-    cell = F.struct("lead", F.when(F.col("single"), F.lit(-1).cast("long")).otherwise(F.col("comp")).alias("comp"))
-    counts = known.groupBy(cell.alias("cell")).agg(F.count("*").alias("n_cell"))
-    known = known.withColumn("cell", cell).join(counts, "cell")
-    known = common.stored(known.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_cell") / GROUP))).drop("n_cell"), "shingle-known")
-    open_ = lists.join(known, "node")
-    open_ = open_.join(open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"), "token", "left_semi")
-    matrix = open_.groupBy("token", "cell", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("single").alias("g_single"), F.max("members").alias("g_members"), F.max("comp").alias("g_comp"))
-    size, query = F.struct("members", "comp"), open_.select("token", "node", "n", "comp", "members", "single")
-    met = query.join(matrix, "token").filter(
+    known = known.join(known.groupBy("comp").agg(F.count("*").alias("members")), "comp").withColumn("large", F.col("members") >= GROUP)
+    # A large component of one leader has groups of its own; the sets of small ones share groups.
+    cell = ["lead", F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of")]
+    counts = known.groupBy(*cell).agg(F.count("*").alias("n_cell"))
+    known = known.withColumn("of", cell[1]).join(counts, ["lead", "of"])
+    group = F.xxhash64("lead", "of", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_cell") / GROUP)))
+    known = common.stored(known.select("node", "n", "comp", "members", "large", group.alias("group")), "shingle-known")
+    open_ = lists.select("node", "token").join(known.select("node", "comp", "group"), "node")
+    mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    open_ = common.stored(open_.join(mixed, "token", "left_semi"), "shingle-open")
+    # The matrix: for each token, the groups it leads to, in lists of about 256.
+    cells = open_.select("token", "group").distinct()
+    cells = cells.join(cells.groupBy("token").agg(F.ceil(F.count("*") / 256).alias("parts")), "token")
+    cells = cells.groupBy("token", F.pmod(F.col("group"), F.col("parts")).alias("part")).agg(F.collect_list("group").alias("groups"))
+    met = open_.select("token", "node").join(cells, "token").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("groups"))).alias("groups"))
+    met = met.select("node", F.explode("groups").alias("group")).join(known.drop("group"), "node")
+    shape = known.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("large").alias("g_large"), F.max("members").alias("g_members"), F.max("comp").alias("g_comp"))
+    met = met.join(shape, "group").filter(
         (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den)
-        & ((F.col("g_single") & F.col("single")) | (~F.col("g_single") & (F.col("comp") != F.col("g_comp")) & (size < F.struct("g_members", "g_comp"))))
+        & F.when(F.col("g_large"), F.struct("members", "comp") < F.struct(F.col("g_members").alias("members"), F.col("g_comp").alias("comp"))).otherwise(~F.col("large"))
     )
-    met = common.stored(met.select("node", "cell", "chunk").distinct(), "shingle-open")
+    met = common.stored(met.select("node", "group"), "shingle-met")
     if met.isEmpty():
         return found
-    asked = met.groupBy("cell", "chunk").agg(F.count("*").alias("asked")).withColumn("salts", F.ceil(F.col("asked") / ASKED))
-    query = met.join(asked, ["cell", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).join(full.select("node", "tokens"), "node").select("cell", "chunk", "salt", "node", "tokens")
-    held = known.join(asked, ["cell", "chunk"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(full.select("node", "tokens"), "node").select("cell", "chunk", "salt", "node", "single", "tokens")
-    key = F.struct("cell", "chunk", "salt").alias("group")
-    query = query.select(F.xxhash64(key).alias("group"), F.col("node").alias("node"), F.col("tokens").alias("tokens"))
-    held = held.select(F.xxhash64(key).alias("group"), F.col("node").alias("node"), F.col("single").alias("single"), F.col("tokens").alias("tokens"))
-    more = query.groupBy("group").cogroup(held.groupBy("group")).applyInArrow(_opener(num, den), "a long, b long")
+    asked = met.groupBy("group").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
+    sets_ = full.select("node", "tokens").join(known.select("node", "comp", "large", F.col("group").alias("own")), "node")
+    query = met.join(asked, "group").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).join(sets_.drop("own", "large"), "node")
+    query = query.select(F.xxhash64("group", "salt").alias("at"), F.col("node").alias("node"), F.col("comp").alias("comp"), F.col("tokens").alias("tokens"))
+    held = sets_.join(asked.withColumnRenamed("group", "own"), "own").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    held = held.select(F.xxhash64("own", "salt").alias("at"), F.col("node").alias("node"), F.col("comp").alias("comp"), F.col("large").alias("large"), F.col("tokens").alias("tokens"))
+    more = query.groupBy("at").cogroup(held.groupBy("at")).applyInArrow(_opener(num, den), "a long, b long")
     return found.unionByName(common.stored(more, "shingle-links"))
 
 

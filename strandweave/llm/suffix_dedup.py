@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUN = 50_000
-SEGMENT = 1 << 20
+RUN = 20_000
+SEGMENT = 1 << 18
 CHUNK = 8192
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -127,8 +127,8 @@ def _anchor_group(group: list, length: int, out: list[list]) -> None:
 def _finder(length: int):
     def find(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                rows = b.slice(i, 2000)
+            for i in range(0, b.num_rows, 500):
+                rows = b.slice(i, 500)
                 found = anchors([t.encode() for t in rows.column("text").to_pylist()], length)
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in found])]).astype(np.int32))
                 grams = pa.array(np.concatenate([*(g for _, g in found), np.zeros(0, np.uint64)]).view(np.int64))
@@ -207,20 +207,27 @@ def _runner(length: int, ranges: int):
 
     def run(batches):
         found: dict[tuple[bytes, bytes], list] = {}
-        for b in batches:
-            for i, h, text, places, grams in zip(*(b.column(c).to_pylist() for c in ("id", "h", "text", "places", "grams")), strict=True):
-                data = text.encode()
-                for p, g in zip(places, grams, strict=True):
-                    key = ((g & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + data[p : p + length], data[max(0, p - core) : p])
-                    found.setdefault(key, []).append((i, h, p))
-                if len(found) >= RUN:
-                    yield from _blobs(close(found))
-                    found = {}
+        for i, h, text, places, grams in _rows(batches, "id", "h", "text", "places", "grams"):
+            data = text.encode()
+            for p, g in zip(places, grams, strict=True):
+                key = ((g & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + data[p : p + length], data[max(0, p - core) : p])
+                found.setdefault(key, []).append((i, h, p))
+            if len(found) >= RUN:
+                yield from _blobs(close(found))
+                found = {}
         yield from _blobs(close(found))
 
     return run
 
 
+def _rows(batches, *names: str, size: int = 500):
+    """The rows of batches as Python values, a few at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            part = b.slice(i, size)
+            yield from zip(*(part.column(c).to_pylist() for c in names), strict=True)
+
+
 def _blobs(items):
     for part, blob in items:
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "run"])
@@ -403,13 +410,14 @@ def _windows(length: int):
     core = length // 2
 
     def run(batches):
-        for b in batches:
-            for i, h, text, places in zip(*(b.column(c).to_pylist() for c in ("id", "h", "text", "hot")), strict=True):
-                data = text.encode()
-                n = len(data) - length + 1
-                starts = np.unique(np.concatenate([np.arange(max(0, p - (length - core)), min(p + 1, n)) for p in places]))
-                for k in range(0, len(starts), 10_000):
-                    at = starts[k : k + 10_000]
+        for i, h, text, places in _rows(batches, "id", "h", "text", "hot"):
+            data = text.encode()
+            n = len(data) - length + 1
+            starts = np.unique(np.concatenate([np.arange(max(0, p - (length - core)), min(p + 1, n)) for p in places]))
+            # Pieces whose starts lie close together: the bytes between far ones need no hash.
+            for near in np.split(starts, np.flatnonzero(np.diff(starts) > length) + 1):
+                for k in range(0, len(near), 10_000):
+                    at = near[k : k + 10_000]
                     lo = int(at[0])
                     part = np.frombuffer(data[lo : int(at[-1]) + length], np.uint8)
                     a, c = (_hashes(part, length, base)[at - lo].view(np.int64) for base in (0, 1))
@@ -427,10 +435,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
-    """The keyed rows of `docs`, each with `spans`: byte ranges, perhaps overlapping, of what recurs; null if nothing does."""
-    keyed = _keyed(docs)
-    spark = docs.sparkSession
+def repeated_spans(keyed: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
+    """id, h, spans of the keyed rows in which something recurs: its byte ranges, which may overlap."""
+    spark = keyed.sparkSession
     found = common.stored(keyed.select("id", "h", "text").mapInArrow(_finder(length), "id long, h long, grams array<long>, places array<long>").filter("size(grams) > 0"), "anchors")
     each = found.select("id", "h", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("id", "h", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
     twice = each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
@@ -444,8 +451,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataF
         few = texts.filter("size(hot) > 0").mapInArrow(_windows(length), "a long, c long, id long, h long, first long")
         more = few.join(few.groupBy("a", "c").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "c"])
         spans = spans.unionByName(more.select("id", "h", "first", (F.col("first") + length).alias("last")))
-    spans = spans.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return keyed.join(spans.hint("shuffle_hash"), ["id", "h"], "left")
+    return spans.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def _joined(spans) -> list[tuple[int, int]]:
@@ -478,7 +484,9 @@ def _report(batches):
 
 def dedup(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    return repeated_spans(docs, length, hot).select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, length, hot)
+    return keyed.join(spans.hint("shuffle_hash"), ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
@@ -493,10 +501,10 @@ def strip_repeats(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFr
 
         return pd.Series([t if t is None or s is None else _kept(t.encode(), _joined(s)).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    spans = repeated_spans(docs, length, hot).filter("spans IS NOT NULL").select("id", "h", "spans").dropDuplicates(["id", "h"])
-    keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = keyed.join(spans, ["id", "h"], "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(strip("text", "spans")))
-    rows = rows.filter("spans IS NULL OR text <> ''")
+    spans = repeated_spans(_keyed(docs), length, hot).withColumnsRenamed({"id": "_id", "h": "_h", "spans": "_spans"})
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.join(spans.hint("shuffle_hash"), ["_id", "_h"], "left")
+    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(strip("text", "_spans"))).filter("_spans IS NULL OR text <> ''")
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
