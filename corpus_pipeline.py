@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept, and its decisions take effect.
 
-Every stage but the last returns the columns of documents. `run` applies the stages in memory of Spark's plan; the driver
-writes each stage's rows and reads them again.
+Every stage but the last returns the columns of documents. Each stage's rows are written and read again before the next
+stage begins, by `run` or by whoever calls the stages; so a stage first deletes the tables that the stage before it left.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from strandweave.llm.queries import TOKENIZER
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language with a score of at least 0.5; those without a letter go."""
+    common.forget(spark)
     return language_id.filter_known(docs, language_id.fit(docs), least=0.5)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8. Those without words stay."""
+    common.forget(spark)
     groups = shingle_join.jaccard_components(docs, words=5, num=80, den=100)
     first = groups.filter("n_shingles = 0 OR doc_id <=> component_id").select("doc_id").distinct()
     # A doc_id that occurs twice is one document here.
@@ -30,15 +32,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes that recur are cut out wherever they stand; a document of which nothing is left goes."""
+    common.forget(spark)
     return suffix_dedup.strip_repeats(docs, length=400)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a document is there as often as it is taken."""
+    common.forget(spark)
     return mixing.apply_mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.forget(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
 
 
@@ -56,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        docs = common.stored(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id"), "offset")
