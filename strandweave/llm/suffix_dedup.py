@@ -121,7 +121,8 @@ def _anchor_group(group: list, length: int, out: list[list]) -> None:
     cut = np.searchsorted(which, np.arange(len(group) + 1))
     for k, (d, offset, piece) in enumerate(group):
         own = at[cut[k] : cut[k + 1]]
-        out[d].append((own - int(ends[k]) + len(piece) + offset, h[own]))
+        # Anchors have small hashes; hashed once more, they spread evenly over the ranges of the merge.
+        out[d].append((own - int(ends[k]) + len(piece) + offset, _mix(h[own] ^ np.uint64(_BASES[1]))))
 
 
 def _finder(length: int):
@@ -435,7 +436,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
 
 
-def repeated_spans(keyed: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
     """id, h, spans of the keyed rows in which something recurs: its byte ranges, which may overlap."""
     spark = keyed.sparkSession
     found = common.stored(keyed.select("id", "h", "text").mapInArrow(_finder(length), "id long, h long, grams array<long>, places array<long>").filter("size(grams) > 0"), "anchors")
@@ -482,14 +483,14 @@ def _report(batches):
             yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     keyed = _keyed(docs)
     spans = repeated_spans(keyed, length, hot)
     return keyed.join(spans.hint("shuffle_hash"), ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip_repeats(docs: DataFrame, length: int = 400, hot: int = 4096) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
     """The rows with repeated bytes removed from their texts; a character cut in two goes as a whole.
 
     Rows that nothing was removed from, and null texts, stay as they were; a text of which nothing is left goes.

@@ -301,7 +301,7 @@ def test_neighbours(spark):
     rows += [(2000, None, "c"), (2020, [0.0] * 16, "c"), (2040, [float("nan")] * 16, "c"), (2060, [1.0], "c"), (2080, [None] * 16, "c"), (2100, [float("inf")] * 16, "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, class string").repartition(3)
     got = defaultdict(list)
-    for r in neighbours.neighbours(df, 20, 20, trees=8, leaf=64, probe=512).collect():
+    for r in neighbours.neighbours(df, 20, 20, trees=8, leaf=64).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     x = m.astype(np.float64)
     hits = 0
