@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..storage import stored
 
 
 def trim_n(reads: DataFrame) -> DataFrame:
@@ -24,19 +25,18 @@ def trim_ends(reads: DataFrame, trim5: int = 0, trim3: int = 0) -> DataFrame:
     return reads
 
 
-def _sums(scores: Column) -> Column:
-    """Running sums of an array of scores, from 0."""
-    return F.aggregate(scores, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+def good_windows(scores: Column, window: int = 20, least: int = 25) -> Column:
+    """For each start of a window of scores, whether its mean is at least `least`."""
+    n = F.size(scores)
+    whole = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
+    return F.transform(whole, lambda i: (n >= window) & (F.aggregate(F.slice(scores, i + 1, window), F.lit(0), lambda a, x: a + x) >= least * window))
 
 
-def kept_range(scores: Column, window: int = 20, least: int = 25) -> tuple[Column, Column]:
-    """Start and end (exclusive, from 0) that sliding means of at least `least` leave.
+def kept_range(good: Column, n: Column, window: int = 20) -> tuple[Column, Column]:
+    """Start and end (exclusive, from 0) of n bases that good windows leave.
 
     The end moves left until the window that ends there is good or none fits; then the start moves right likewise.
     """
-    n = F.size(scores)
-    total = _sums(scores)
-    good = F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), lambda i: F.when(n >= window, F.element_at(total, i + window + 1) - F.element_at(total, i + 1) >= least * window).otherwise(False))
     place = F.array_position(F.reverse(good), True)
     end = F.when(n <= window, n).when(place > 0, n - place + 1).otherwise(window).cast("int")
     first = F.array_position(F.slice(good, 1, F.greatest(end - window + 1, F.lit(1))), True)
@@ -46,12 +46,12 @@ def kept_range(scores: Column, window: int = 20, least: int = 25) -> tuple[Colum
 
 def quality_trim(reads: DataFrame, window: int = 20, least: int = 25) -> DataFrame:
     """Cut both ends by sliding mean quality; adds kept_start and kept_end."""
-    reads = reads.withColumn("_scores", dna.phred(F.col("qual")))
-    start, end = kept_range(F.col("_scores"), window, least)
+    reads = reads.withColumn("_scores", dna.phred(F.col("qual"))).withColumn("_good", good_windows(F.col("_scores"), window, least))
+    start, end = kept_range(F.col("_good"), F.size("_scores"), window)
     reads = reads.withColumn("kept_start", start).withColumn("kept_end", end)
     for c in ("seq", "qual"):
         reads = reads.withColumn(c, F.expr(f"substring({c}, kept_start + 1, kept_end - kept_start)"))
-    return reads.drop("_scores")
+    return reads.drop("_scores", "_good")
 
 
 def default_quality(reads: DataFrame, score: int = 40) -> DataFrame:
@@ -76,16 +76,17 @@ def both_strands(reads: DataFrame) -> DataFrame:
 def number_by_length(reads: DataFrame, order: list[str]) -> DataFrame:
     """read_id from 0 over (length descending, then `order` descending, a total order of the input).
 
-    Rows are counted by length first and ranked within a length and a slice of it, so that no task holds all of them.
+    The rows are range-partitioned in that order and written, counted by partition, and ranked within their partition: no
+    task holds more than its range, even where all reads have one length.
     """
-    reads = reads.withColumn("len", F.length("seq"))
-    spread = F.pmod(F.xxhash64(*order), F.lit(64))
-    del spread  # ranks within a length follow the input's order, which a hash would not keep
-    counts = reads.groupBy("len").agg(F.count("*").alias("_n"))
-    before = counts.select(F.col("len"), (F.sum("_n").over(Window.orderBy(F.desc("len"))) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy("len").orderBy(*[F.desc(c) for c in order])
-    ranked = reads.withColumn("_rank", F.row_number().over(w) - 1).join(before, "len")
-    return ranked.withColumn("read_id", (F.col("_before") + F.col("_rank")).cast("long")).drop("_before", "_rank")
+    keys = [F.desc("len"), *[F.desc(c) for c in order]]
+    sorted_ = reads.withColumn("len", F.length("seq")).repartitionByRange(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sorted_ = stored(sorted_.withColumn("_p", F.spark_partition_id()), "by-length")
+    counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1
+    ranked = sorted_.withColumn("_rank", rank).join(before, "_p")
+    return ranked.withColumn("read_id", (F.col("_before") + F.col("_rank")).cast("long")).drop("_p", "_before", "_rank")
 
 
 def short_label(reads: DataFrame, size: int = 10) -> DataFrame:

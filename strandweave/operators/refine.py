@@ -260,9 +260,13 @@ def hybrid_map(read_pos: DataFrame, nodes: DataFrame) -> DataFrame:
     """parent, child: each read's contig, or an id of its own after the last contig."""
     top = read_pos.agg(F.coalesce(F.max("contig") + 1, F.lit(0).cast("long")).alias("n")).first().n
     joined = nodes.select(F.col("node").alias("child")).join(read_pos.select(F.col("read_id").alias("child"), F.col("contig").alias("parent")), "child", "left")
-    rest = joined.filter("parent IS NULL").select("child")
-    rest = rest.withColumn("parent", F.row_number().over(Window.orderBy("child")) - 1 + top) if not rest.isEmpty() else rest.withColumn("parent", F.lit(0).cast("long"))
-    return joined.filter("parent IS NOT NULL").select("parent", "child").unionByName(rest.select(F.col("parent").cast("long"), "child"))
+    # Ranked within slices of a hash, and across them by their counts.
+    rest = joined.filter("parent IS NULL").select("child", F.pmod(F.xxhash64("child"), F.lit(1024)).alias("_s"))
+    counts = rest.groupBy("_s").agg(F.count("*").alias("_n"))
+    before = counts.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("child")) - 1
+    rest = rest.withColumn("_i", rank).join(before, "_s").select((F.col("_before") + F.col("_i") + top).cast("long").alias("parent"), "child")
+    return joined.filter("parent IS NOT NULL").select("parent", "child").unionByName(rest)
 
 
 def hybrid_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
