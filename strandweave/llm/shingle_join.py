@@ -245,14 +245,18 @@ def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> D
     known = known.withColumn("of", cell[1]).join(counts, ["lead", "of"])
     group = F.xxhash64("lead", "of", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_cell") / GROUP)))
     known = common.stored(known.select("node", "n", "comp", "members", "large", group.alias("group")), "shingle-known")
-    open_ = lists.select("node", "token").join(known.select("node", "comp", "group"), "node")
+    open_ = lists.select("node", "token").join(known.select("node", "comp", "group", "large"), "node")
     mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
     open_ = common.stored(open_.join(mixed, "token", "left_semi"), "shingle-open")
-    # The matrix: for each token, the groups it leads to, in lists of about 256.
-    cells = open_.select("token", "group").distinct()
+    # The matrix: for each token, the groups it leads to, in lists of about 256. Of a group's sets with the token, it holds
+    # the components and the last node: a set need not ask a group that has its own component alone there, and of two sets
+    # in small components one asks.
+    cells = open_.groupBy("token", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("node").alias("last"), F.max("large").alias("large"))
     cells = cells.join(cells.groupBy("token").agg(F.ceil(F.count("*") / 256).alias("parts")), "token")
-    cells = cells.groupBy("token", F.pmod(F.col("group"), F.col("parts")).alias("part")).agg(F.collect_list("group").alias("groups"))
-    met = open_.select("token", "node").join(cells, "token").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("groups"))).alias("groups"))
+    cells = cells.groupBy("token", F.pmod(F.col("group"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("group", "low", "high", "last", "large")).alias("groups"))
+    worth = lambda g: ((g["low"] != F.col("comp")) | (g["high"] != F.col("comp"))) & (g["large"] | (g["last"] > F.col("node")))
+    met = open_.select("token", "node", "comp").join(cells, "token").select("node", F.transform(F.filter("groups", worth), lambda g: g["group"]).alias("groups")).filter("size(groups) > 0")
+    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("groups"))).alias("groups"))
     met = met.select("node", F.explode("groups").alias("group")).join(known.drop("group"), "node")
     shape = known.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("large").alias("g_large"), F.max("members").alias("g_members"), F.max("comp").alias("g_comp"))
     met = met.join(shape, "group").filter(
