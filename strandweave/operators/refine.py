@@ -181,7 +181,12 @@ def consensus(path: list[int], seqs: dict[int, str], inside: dict[int, list[int]
 def linearise(nodes: set, edges: dict, seqs: dict[int, str], path_len: int = 4, bubble_len: int = 4) -> list[list[int]]:
     """The cluster's paths after containment, transitive edges, tips and bubbles are dealt with."""
     alive = remove_contained(nodes, edges)
-    forward = {a: {b for b, e in out.items() if b in alive and e["r_dovetail"]} for a, out in edges.items() if a in alive}
+    # A right dovetail begins earlier in its source: the source lies to the right, and follows its destination.
+    forward: dict[int, set] = {n: set() for n in alive}
+    for a, out in edges.items():
+        for b, e in out.items():
+            if a in alive and b in alive and e["r_dovetail"]:
+                forward[b].add(a)
     forward = reduce_transitive(forward)
     alive, forward = trim_dead_ends(alive, forward, path_len)
     alive, forward = pop_bubbles(alive, forward, seqs, bubble_len)
