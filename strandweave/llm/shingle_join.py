@@ -5,8 +5,8 @@ similarity of t share a token among their first (1 - t) n + 1 tokens in any comm
 sets have the token, over a fixed fifth of the hash space, so that a document with enough tokens of its own has no
 candidates, whatever passages it shares.
 
-Sets with a token in common are partitioned into groups of similar ones: by the leader that most of their tokens name.
-First each set is compared with its leader, which settles large groups of copies in one comparison a document. Where a
+Sets with a token in common are partitioned into groups of similar ones, by their smallest token that another set has; a
+group's leader is one with few tokens of its own. First each set is compared with its leader, which settles large groups of copies in one comparison a document. Where a
 token still joins sets of different components, the matrix tells which groups of sets it leads to; a group stores the
 union of its sets' tokens, the union's overlap with the query bounds every similarity within, and only groups that the
 bound admits are opened. Every pair of sets that could link is in one component by then, or was compared.
@@ -222,11 +222,13 @@ def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> D
     each = each.withColumn("left", F.col("need") - (F.col("n_counted") - F.size("dup")))
     # How many of its tokens no other set has: a group's leader is one with few, such as the text that copies were made of.
     lonely = ((F.col("n_counted") - F.size("dup")) / F.greatest(F.col("n_counted") + F.size("shared"), F.lit(1))).alias("lonely")
-    each = each.filter("left > 0").select("node", lonely, F.concat(F.slice("dup", 1, F.greatest(F.col("left"), F.lit(0))), F.when(F.col("left") > F.size("dup"), F.slice("shared", 1, F.greatest(F.col("left") - F.size("dup"), F.lit(1)))).otherwise(F.array().cast("array<long>")), F.when(F.col("left") > F.size("dup") + F.size("shared"), F.col("beyond")).otherwise(F.array().cast("array<long>"))).alias("tokens"))
-    lists = common.stored(each.select("node", "lonely", F.explode("tokens").alias("token")), "shingle-prefixes")
-    lead = lists.groupBy("token").agg(F.min(F.struct("lonely", "node"))["node"].alias("lead"), F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("token", "lead")
-    named = lists.join(lead, "token").groupBy("node", "lead").agg(F.count("*").alias("n"))
-    named = named.groupBy("node").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    # Similar sets mostly have the same smallest shared token, which names their group.
+    key = F.coalesce(F.array_min(F.concat("dup", "shared")), F.lit(0)).alias("key")
+    each = each.filter("left > 0").select("node", lonely, key, F.concat(F.slice("dup", 1, F.greatest(F.col("left"), F.lit(0))), F.when(F.col("left") > F.size("dup"), F.slice("shared", 1, F.greatest(F.col("left") - F.size("dup"), F.lit(1)))).otherwise(F.array().cast("array<long>")), F.when(F.col("left") > F.size("dup") + F.size("shared"), F.col("beyond")).otherwise(F.array().cast("array<long>"))).alias("tokens"))
+    lists = common.stored(each.select("node", "lonely", "key", F.explode("tokens").alias("token")), "shingle-prefixes")
+    several = lists.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("token")
+    met_ = lists.join(several, "token", "left_semi").select("node", "lonely", "key").distinct()
+    named = met_.join(met_.groupBy("key").agg(F.min(F.struct("lonely", "node"))["node"].alias("lead")), "key").select("node", "lead")
     chosen = named.join(nodes.select(F.col("row").alias("node"), "doc_id", "digest", "n"), "node")
     texts = common.columns(docs, doc_id="long", text="string")
     full = chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["doc_id"])).select("node", "lead", "n", "digest", "text").mapInArrow(_full(words), "node long, lead long, n long, tokens array<long>")
