@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -276,7 +276,10 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(bins) <= -(-sum(g["length"] for g in got) // 64) + 1
+    counts = Counter(g["length"] for g in got)
+    have = np.array([counts.get(i, 0) for i in range(65)])
+    assert packing.lower_bound(have, 64) <= len(bins) <= sum(n for _, n in packing.best_fit(counts, 64))
+    assert len(bins) <= 1.005 * packing.lower_bound(have, 64) + 1
     assert packing.pack(make(spark, []), BPE, 0, 64).count() == 0
 
 
