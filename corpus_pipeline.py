@@ -23,11 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8. Those without words stay."""
     common.forget(spark)
-    groups = shingle_join.jaccard_components(docs, words=5, num=80, den=100)
-    first = groups.filter("n_shingles = 0 OR doc_id <=> component_id").select("doc_id").distinct()
-    # A doc_id that occurs twice is one document here.
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if shingle_join._repeats(docs) else kept
+    return shingle_join.one_of_each(docs, words=5, num=80, den=100)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

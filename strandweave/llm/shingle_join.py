@@ -117,8 +117,8 @@ def _describe(words: int, num: int, den: int):
                 need = [_prefix(len(s), num, den) if len(s) else 0 for s in sets]
                 low = [s[: max(k, p)] for s, k, p in zip(sets, kept, need, strict=True)]
                 digest = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                columns = [rows.column("doc_id"), rows.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.int32()), pa.array(need, pa.int32()), _lists(low)]
-                yield pa.record_batch(columns, ["doc_id", "row", "n", "digest", "kept", "need", "low"])
+                columns = [rows.column("doc_id"), rows.column("text_hash"), rows.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.int32()), pa.array(need, pa.int32()), _lists(low)]
+                yield pa.record_batch(columns, ["doc_id", "text_hash", "row", "n", "digest", "kept", "need", "low"])
 
     return run
 
@@ -207,7 +207,7 @@ def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> D
     """Links (a, b) between nodes that join every component of similar sets. `sets` is a stored table of _describe."""
     spark = sets.sparkSession
     first = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("row"))
-    nodes = sets.join(first.select("row"), "row", "left_semi").select("row", "doc_id", "digest", "n", "kept", "need", "low")
+    nodes = sets.join(first.select("row"), "row", "left_semi").select("row", "doc_id", "text_hash", "digest", "n", "kept", "need", "low")
     nodes = common.stored(nodes, "shingle-nodes")
     common_ = nodes.select("kept", "low").mapInArrow(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     # Of a token in this table each set has one, so that it holds no more than 256 mean set sizes.
@@ -229,9 +229,10 @@ def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> D
     several = lists.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("token")
     met_ = lists.join(several, "token", "left_semi").select("node", "lonely", "key").distinct()
     named = met_.join(met_.groupBy("key").agg(F.min(F.struct("lonely", "node"))["node"].alias("lead")), "key").select("node", "lead")
-    chosen = named.join(nodes.select(F.col("row").alias("node"), "doc_id", "digest", "n"), "node")
-    texts = common.columns(docs, doc_id="long", text="string")
-    full = chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["doc_id"])).select("node", "lead", "n", "digest", "text").mapInArrow(_full(words), "node long, lead long, n long, tokens array<long>")
+    chosen = named.join(nodes.select(F.col("row").alias("node"), "doc_id", "text_hash", "digest", "n"), "node")
+    texts = common.columns(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
+    # The hash too: rows that share an id, or have none, would each be joined to all the others.
+    full = chosen.join(texts, (chosen["text_hash"] == texts["text_hash"]) & chosen["doc_id"].eqNullSafe(texts["doc_id"])).select("node", "lead", "n", "digest", "text").mapInArrow(_full(words), "node long, lead long, n long, tokens array<long>")
     full = common.stored(full.dropDuplicates(["node"]) if _repeats(docs) else full, "shingle-sets")
     left, right = full.filter("node <> lead").alias("x"), full.alias("y")
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
@@ -283,16 +284,41 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.groupBy(F.col("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; documents link when den x intersection >= num x union."""
-    rows = common.columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
-    kinds = "doc_id long, row long, n long, digest binary, kept int, need int, low array<long>"
+def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each of docs (doc_id, text_hash, n, digest), and digest, label of every set that isn't empty."""
+    rows = common.columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
+    kinds = "doc_id long, text_hash long, row long, n long, digest binary, kept int, need int, low array<long>"
     sets = common.stored(rows.mapInArrow(_describe(words, num, den), kinds), "shingles")
     label = components(links(sets, docs, words, num, den))
     first = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
-    classes = first.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sets, first.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; documents link when den x intersection >= num x union."""
+    sets, classes = _components(docs, words, num, den)
     ids = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     classes = classes.join(ids, "label").select("digest", "component_id")
     small = sets.select("doc_id", "row", F.col("n").alias("n_shingles"), "digest")
     out = small.filter("n_shingles > 0").join(classes, "digest").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(small.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """One row of each component, and all rows without words. Ids may be null or occur more than once.
+
+    The row is the one with the smallest id that is not null, by the hash of its text where the id has several texts. Of
+    rows that agree in id and text the smallest by its other columns stays.
+    """
+    sets, classes = _components(docs, words, num, den)
+    names = sets.filter("n > 0").join(classes.select("digest", "label"), "digest").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")).alias("one")
+    first = names.groupBy("label").agg(first).select(F.col("one.doc_id").alias("_doc_id"), F.col("one.text_hash").alias("_text_hash"), F.col("one.copies").alias("_copies"))
+    first = common.stored(first, "shingle-first")
+    has_words = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    named = docs.filter(has_words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash")))
+    kept = named.filter("_copies = 1").select(docs.columns)
+    if not first.filter("_copies > 1").isEmpty():
+        again = named.filter("_copies > 1").groupBy("_doc_id", "_text_hash").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        kept = kept.unionByName(again.select("_row.*"))
+    return kept.unionByName(docs.filter(~has_words))

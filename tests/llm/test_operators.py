@@ -427,3 +427,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(shared[20:-20] not in texts[100 + i] for i in range(3)) and texts[0] == rows[0][1]
     assert sum(len(r.text.split()) for r in mix.collect()) == pytest.approx(1.5 * sum(len(t.split()) for t in texts.values()), rel=0.02)
     assert packed.count() and packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    """Different texts under one id, or under none, are different documents; a group leaves one row whatever its ids."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices(["th", "ing", "er", "an"], k=3)) for _ in range(n))
+    t = [prose(80) for _ in range(12)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (7, t[4] + " more"), (1, t[5]), (7, t[5] + " more"), (8, t[6]), (8, t[6]), (None, t[7]), (None, t[7]), (9, t[8] + " more"), (None, t[8])]
+    rows += [(None, None), (None, None), (9, ""), (9, " "), (None, t[9]), (None, t[9] + " more")]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.one_of_each_group(spark, docs, None)
+    assert got.columns == docs.columns
+    out = Counter((r.doc_id, r.text) for r in got.collect())
+    want = Counter([(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (1, t[5]), (8, t[6]), (None, t[7]), (9, t[8] + " more"), (None, None), (None, None), (9, ""), (9, " ")])
+    for low in ((7, t[4]), (None, t[9])):  # either of the group's two texts, under the same id
+        found = [k for k in out if k[0] == low[0] and k[1] in (low[1], low[1] + " more")]
+        assert len(found) == 1
+        want[found[0]] += 1
+    assert out == want
