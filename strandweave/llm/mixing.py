@@ -5,6 +5,10 @@ A slot i of the schedule has the point frac(i x golden ratio), which falls into
 weights; the slot's rank among its source's slots, modulo the source's blocks, names the block that it takes. A document
 gives the mix the words that its blocks' slots cover, so often as they are taken.
 
+A source has at least 256 blocks, or as many as words (with more than 4096 sources, at least 2**20 blocks over all). The
+points give a source a few slots more or less than it needs: slots beyond its need are dropped, missing ones are appended
+at the end, and the last one ends at the word where the source's target, rounded, is met.
+
 Only one row for each source comes to the driver. A source's row of words is summed in two levels, by 1024 ranges of the
 hash, so that a source with most of the rows is spread over many tasks.
 
@@ -23,6 +27,8 @@ RANGES = 1024
 #: floor(2**32 / golden ratio), made odd: i times this modulo 2**32 is the golden-ratio sequence in 32-bit fixed point.
 GOLDEN = 2654435769
 CHUNK = 1 << 16
+#: Least blocks of a source, and of all sources together where there are very many.
+LEAST, LEAST_ALL = 256, 1 << 20
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, cap: float = 2.0) -> list[float]:
@@ -48,33 +54,43 @@ def _sources(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     goals = targets([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
     block = min(largest, max(1.0, sum(goals) / slots))
+    least = max(1, min(LEAST, LEAST_ALL // max(1, len(found))))
     out = []
     for i, (r, goal) in enumerate(zip(found, goals, strict=True)):
-        blocks = max(1, round(r["size"] / block))
-        needed = goal * blocks / r["size"] if r["size"] else 0.0
-        out.append({"key": i, "source": r.source, "source_size": r["size"], "target": goal, "blocks": blocks, "needed": needed})
+        size = r["size"]
+        blocks = max(1, round(size / block), min(size, least))
+        # Whole passes, and the last one up to a word `cut`; `needed` slots hold them.
+        whole, cut = divmod(round(goal), size) if size else (0, 0)
+        needed = whole * blocks - (-cut * blocks // size) if size else 0
+        out.append({"key": i, "source": r.source, "source_size": size, "target": goal, "blocks": blocks, "needed": needed, "cut": cut})
     return out
 
 
-def schedule(spark, sources: list[dict], cap: float = 2.0) -> DataFrame:
-    """slot, key (of the source), rank, block. Ranks are counted within chunks of slots, then across chunks."""
-    total = sum(s["needed"] for s in sources)
-    slots = round(total)
-    ends, end = [], 0.0
+def schedule(spark, sources: list[dict]) -> DataFrame:
+    """slot, key (of the source), rank, block, cut. Ranks are counted within chunks of slots, then across chunks.
+
+    Each source has just the slots that it needs. `cut` is the word at which a source's last slot ends, if not its block's end.
+    """
+    slots = sum(s["needed"] for s in sources)
+    ends, end = [], 0
     for s in sources:
         end += s["needed"]
-        ends.append(end / max(total, 1e-9))
+        ends.append(end / max(slots, 1))
     frame = spark.range(slots, numPartitions=max(1, min(common.partitions(spark), slots // CHUNK + 1))).withColumnRenamed("id", "slot")
     point = F.pmod((F.col("slot") + 1) * GOLDEN, F.lit(1 << 32)) / float(1 << 32)
     passed = F.aggregate(F.array(*map(F.lit, ends[:-1] or [2.0])), F.lit(0), lambda a, x: a + (x <= point).cast("int"))
     frame = frame.select("slot", passed.alias("key"), F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = frame.groupBy("key", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.select("key", "chunk", (F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")).alias("before"))
+    before = counts.select("key", "chunk", (F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")).alias("before"))
     frame = frame.withColumn("rank", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")) - 1)
-    shape = spark.createDataFrame([(s["key"], s["blocks"]) for s in sources], "key int, blocks long")
-    frame = frame.join(counts, ["key", "chunk"]).join(shape, "key").withColumn("rank", F.col("rank") + F.col("before"))
-    # A source at its cap has each block so often; a slot more, by the sequence's discrepancy, takes nothing.
-    return frame.filter(F.col("rank") < cap * F.col("blocks")).select("slot", "key", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    shape = spark.createDataFrame([(s["key"], s["blocks"], s["needed"], s["cut"]) for s in sources], "key int, blocks long, needed long, cut long")
+    frame = frame.join(before, ["key", "chunk"]).select("slot", "key", (F.col("rank") + F.col("before")).alias("rank"))
+    frame = frame.join(shape, "key").filter("rank < needed")
+    given = shape.join(counts.groupBy("key").agg(F.sum("n").alias("given")), "key", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    missing = given.filter("given < needed").withColumn("rank", F.explode(F.sequence("given", F.col("needed") - 1)))
+    frame = frame.select("slot", "key", "rank", "blocks", "needed", "cut").unionByName(missing.select((F.col("rank") + slots).alias("slot"), "key", "rank", "blocks", "needed", "cut"))
+    last = F.when((F.col("cut") > 0) & (F.col("rank") == F.col("needed") - 1), F.col("cut"))
+    return frame.select("slot", "key", "rank", (F.col("rank") % F.col("blocks")).alias("block"), last.alias("cut"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, slots: int = 1 << 16, largest: int = 1 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -104,9 +120,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     laid = laid.withColumn("_row", F.struct("key", "_range", "_mixed", "first"))
     pieces = laid.select("_row", "key", "first", "size", "source_size", "blocks", F.explode(touched).alias("block"))
     low, high = F.floor(F.col("block") * whole / b), F.floor((F.col("block") + 1) * whole / b)
-    pieces = pieces.select("_row", "key", "block", (F.least(high, F.col("first") + size) - F.greatest(low, F.col("first"))).alias("words")).filter("words > 0")
-    times = schedule(spark, sources, cap).groupBy("key", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["key", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    pieces = pieces.select("_row", "key", "block", F.greatest(low, F.col("first")).alias("low"), F.least(high, F.col("first") + size).alias("high")).filter("low < high")
+    times = schedule(spark, sources).groupBy("key", "block").agg(F.count_if(F.col("cut").isNull()).alias("times"), F.max("cut").alias("cut"))
+    words = (F.col("high") - F.col("low")) * F.col("times") + F.greatest(F.least("high", "cut") - F.col("low"), F.lit(0)) * F.when(F.col("cut").isNull(), 0).otherwise(1)
+    taken = pieces.join(times, ["key", "block"]).groupBy("_row").agg(F.sum(words).alias("taken"))
     # A document without words shares its place with the one that follows it, and takes nothing.
     out = laid.join(taken, "_row", "left").withColumn("taken", F.when(size > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "taken", *carry)

@@ -359,6 +359,24 @@ def test_mixing(spark):
     assert mixing.mix(make(spark, [])).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    """Sources far below a block of the mix, beside a large one: each takes its target to the word."""
+    rows = [(i, "w " * 40_000, "en", "large") for i in range(50)] + [(100 + i, "w " * (7 * i % 23 + 1), "en", f"s{i % 40:02}") for i in range(80)] + [(500, "w " * 90, "en", None)]
+    got = collect(mixing.mix(make(spark, rows), slots=1 << 10))
+    source = {r[0]: r[3] for r in rows}
+    taken, target, passes = defaultdict(int), {}, defaultdict(set)
+    for g in got:
+        s = source[g["doc_id"]]
+        taken[s] += g["taken"]
+        target[s] = g["target"]
+        passes[s].add(g["taken"] / g["size"])
+    assert len(taken) == 42
+    for s, n in taken.items():
+        assert abs(n - target[s]) <= 0.5 + 1e-6
+        # Whole passes and a part of one more: of one document at most a part is taken.
+        assert max(passes[s]) <= int(min(passes[s])) + 1 and sum(p != int(p) for p in passes[s]) <= 1
+
+
 def test_apply_mix(spark):
     rows = [(i, " ".join(["w"] * (i % 7 + 1)), "en", "ab"[i % 2]) for i in range(100)] + [(200, None, "en", "a"), (201, "", None, None)]
     docs = make(spark, rows)
