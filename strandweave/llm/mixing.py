@@ -132,10 +132,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves: a row for each whole time a document is taken, and one with the words of the rest.
 
-    A document that the last pass over its source takes in part is taken from its start.
+    The last pass over a source takes the blocks from its first on, so that at most one document of a source is taken in
+    part, and from its start: to the end of the last word taken, with the white space before and between its words.
     """
-    # A row is named by its id and a hash of its text; rows that agree in both share evenly what they are given.
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text"))
+    # A row is named by its id and a hash of its text and source; rows that agree in all share evenly what they are given.
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text", F.col("source").cast("string"), F.col("source").isNull()))
     mixed = mix(keyed, carry=("_h",), **how).groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2"))
     mixed = mixed.agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"), F.first("size").alias("size")).filter("taken > 0")
     rest, full = F.col("taken") % F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int")
@@ -143,7 +144,8 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     mixed = mixed.select("_id", "_h2", F.when(rest > 0, F.array_append(copies, rest)).otherwise(copies).alias("_copies")).withColumnRenamed("_id", "_id2")
     rows = keyed.join(mixed.hint("shuffle_hash"), (F.col("_h") == F.col("_h2")) & F.col("_id").eqNullSafe(F.col("_id2")))
     word = common.WORD.replace("\\", "\\\\")
-    cut = F.expr(f"concat_ws(' ', slice(regexp_extract_all(text, '{word}', 0), 1, cast(_words AS int)))")
+    space = word.replace("[^", "[").rstrip("+") + "*"
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '{space}{word}', 0), 1, cast(_words AS int)), '')")
     rows = rows.withColumn("_words", F.explode("_copies")).withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

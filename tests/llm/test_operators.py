@@ -390,6 +390,25 @@ def test_apply_mix(spark):
     assert dict(words) == {i: t for i, t in taken.items() if t}
 
 
+def test_apply_mix_keeps_lines_and_cuts_one_document_a_source(spark):
+    """A part of a document is a piece of its very text, and what the mix gave is in the output, word for word."""
+    rows = [(i, "".join(f"{' '[: k % 2]}w{i}_{k}\n\t " for k in range(i % 7 + 40)), "en", "ab"[i % 2]) for i in range(60)]
+    rows += [(i, "same  text\nhere", "en", s) for i in (300, 301) for s in "ab"]
+    docs = make(spark, rows)
+    text = {(r[0], r[3]): r[1] for r in rows}
+    want = {}
+    for s in "ab":  # the mix's order is by a hash of the id and the source's place
+        for r in mixing.mix(docs.withColumn("o", docs["source"]), carry=("o",)).filter(f"o = '{s}'").collect():
+            want[r.doc_id, s] = r.taken
+    words, parts = Counter(), Counter()
+    for r in mixing.apply_mix(docs).collect():
+        whole = text[r.doc_id, r.source]
+        words[r.doc_id, r.source] += len(r.text.split())
+        assert whole.startswith(r.text) and r.n_chars == len(r.text)
+        parts[r.source] += r.text != whole
+    assert words == Counter(want) and 0 < max(parts.values()) <= 1
+
+
 # 9
 
 
