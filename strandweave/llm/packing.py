@@ -3,7 +3,7 @@
 The driver sees one number for each piece length (at most `capacity` of them, however large the input), and plans how
 often each filling is used. Bin completion takes the largest length left, enumerates undominated fillings of the rest of
 its sequence, and branches on them; a branch ends when its waste is above what the incumbent allows. Best-fit decreasing
-gives the first incumbent. Pieces of one length are ranked in two levels, by salt, so that a length that most pieces have
+gives the first incumbent. The search ends at the lower bound or after `steps` fillings: then the plan need not be the best. Pieces of one length are ranked in two levels, by salt, so that a length that most pieces have
 is spread over many tasks, and each finds its sequence by its rank.
 
 Defined cases: a null text is the empty one and has the end id alone; repeated rows are documents of their own; an empty
@@ -13,7 +13,10 @@ table gives an empty result; columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
+#: Choices at each place of the searches before the whole one.
+WIDTHS = (1, 2, 3, 6)
+OPEN = 64
 PIECE = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,41 +56,68 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [(f, n) for f, n in done.items() if n]
 
 
-def fillings(have: np.ndarray, capacity: int, branches: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of one sequence around the largest length in `have` (counts by length), least waste first.
+def _sums(bits: int, size: int, times: int, full: int) -> int:
+    """The sums in `bits`, and each with up to `times` pieces of `size` more."""
+    step = 1
+    while times > 0:
+        k = min(step, times)
+        bits |= bits << k * size & full
+        times, step = times - k, 2 * step
+    return bits
 
-    A filling gives way to one that has a larger length for each of its own, so that beside a first length only the
-    largest second one that fits is tried, and so on.
+
+def dominated(filling: tuple[int, ...], left: list[int], waste: int) -> bool:
+    """Whether a filling gives way to another, whose pieces can be cut into its own (Martello and Toth).
+
+    If so, some single exchange does it: a piece that is left over comes in, for a smaller one, for several, or for waste.
+    """
+    one, more = 1, 0  # sums of at most one piece, and of several
+    for s in filling:
+        more |= more << s | (one & ~1) << s
+        one |= 1 << s
+    full = (1 << len(left)) - 1
+    swaps = _sums(more, 1, waste, full) | (_sums(one << 1, 1, waste - 1, full) if waste else 0)
+    used = Counter(filling)
+    return any(n > used[s] for s, n in enumerate(left) if n and swaps >> s & 1)
+
+
+def fillings(have: np.ndarray, capacity: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of one sequence around the largest length in `have` (counts by length) that no other one dominates.
+
+    They are made one at a time, for there may be very many: least waste first, and of equal waste larger pieces first. A
+    None stands for a filling that was found to be dominated, so that whoever asks can count it.
     """
     largest = int(np.flatnonzero(have)[-1])
     room = capacity - largest
-    left = have.copy()
-    left[largest] -= 1
-    sizes = np.flatnonzero(left[: room + 1])[::-1]
-    if not len(sizes):
-        return [(largest,)]
-    below = np.maximum.accumulate(np.where(left[: room + 1] > 0, np.arange(room + 1), 0))  # largest length up to
-    rows, rest, last, again = [sizes], room - sizes, sizes, np.ones(len(sizes), np.int64)
-    while True:
-        most = np.where(left[last] > again, last, last - 1)
-        pick = below[np.maximum(np.minimum(rest, most), 0)]
-        if not pick.any():
+    left = have[: room + 1].tolist()
+    if largest <= room:
+        left[largest] -= 1
+    sizes, full = [s for s, n in enumerate(left) if n], (1 << room + 1) - 1
+    reach = [1]  # reach[i] has the sums of the i smallest lengths as bits
+    for s in sizes:
+        if reach[-1] == full:
+            reach += [full] * (len(sizes) + 1 - len(reach))
             break
-        again = np.where(pick == last, again + 1, 1)
-        rows.append(pick)
-        rest, last = rest - pick, np.where(pick > 0, pick, last)
-    table = np.stack(rows, axis=1)
-    order = np.lexsort((-table[:, 0], rest))
-    out, best_second = [], -1
-    for i in order:
-        filling = (largest, *(int(x) for x in table[i] if x))
-        if any(left[s] < n for s, n in Counter(filling[1:]).items()):
-            continue
-        out.append(filling)
-        if len(out) == branches or rest[i] == 0 and len(out) > 1:
-            break
-        best_second = max(best_second, int(rest[i]))
-    return out or [(largest,)]
+        reach.append(_sums(reach[-1], s, min(left[s], room // s), full))
+
+    def exact(i: int, rest: int) -> Iterator[tuple[int, ...]]:
+        """Each multiset of the i smallest lengths that adds up to `rest`; none is looked at in vain."""
+        if not rest:
+            yield ()
+            return
+        i = min(i, bisect_right(sizes, rest))
+        while i and reach[i] >> rest & 1:
+            i -= 1
+            s = sizes[i]
+            for n in range(min(left[s], rest // s), 0, -1):
+                if reach[i] >> rest - n * s & 1:
+                    for tail in exact(i, rest - n * s):
+                        yield (s,) * n + tail
+
+    for waste in range(room + 1):
+        if reach[-1] >> room - waste & 1:
+            for rest in exact(len(sizes), room - waste):
+                yield None if dominated(rest, left, waste) else (largest, *rest)
 
 
 def lower_bound(have: np.ndarray, capacity: int) -> int:
@@ -100,32 +133,86 @@ def lower_bound(have: np.ndarray, capacity: int) -> int:
     return best
 
 
-def plan(counts: dict[int, int], capacity: int, branches: int = 3, steps: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used, for all pieces. `steps` bounds the search; its best plan so far is kept."""
+def plan(counts: dict[int, int], capacity: int, steps: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used, for all pieces.
+
+    Depth first; a filling is used as often as its pieces and the waste that is allowed admit, and then once. As a bad choice
+    near the root is reached last, searches that go back to fewer choices at each place come first. `steps` bounds the fillings
+    looked at in all; the best plan so far is kept.
+    """
     have = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         have[size] = n
     incumbent = best_fit(counts, capacity)
     best, bound = sum(n for _, n in incumbent), lower_bound(have, capacity)
     total = int((have * np.arange(capacity + 1)).sum())
-    stack: list = [(have, [], 0, 0)]  # counts left, plan so far, its sequences, its waste
-    while stack and best > bound and steps > 0:
-        have, done, used, waste = stack.pop()
-        if not have.any():
-            if used < best:
-                best, incumbent = used, done
+    for width in (*WIDTHS, None):
+        if best > bound and total:
+            limit = steps if width is None else steps // (2 * len(WIDTHS))
+            looked, found = _search(have.copy(), total, capacity, best, bound, width, limit)
+            steps -= looked
+            if found:
+                best, incumbent = sum(n for _, n in found), found
+    return incumbent
+
+
+def _search(have: np.ndarray, total: int, capacity: int, best: int, bound: int, width: int | None, steps: int) -> tuple[int, list | None]:
+    """How many fillings were looked at, and the best plan of fewer than `best` sequences."""
+    done: list = []  # filling, times, of the branch at hand
+    used = waste = packed = looked = 0
+    found, ways = None, [[0, None]]  # at each place, how many ways were gone, and those that are left
+
+    def use(filling: tuple[int, ...], times: int) -> None:
+        nonlocal used, waste, packed
+        for s in filling:
+            have[s] -= times
+        used, waste, packed = used + times, waste + times * (capacity - sum(filling)), packed + times * sum(filling)
+
+    while ways and best > bound and looked < steps:
+        if len(done) == len(ways):
+            use(done[-1][0], -done[-1][1])
+            done.pop()
+        looked += 1
+        if ways[-1][1] is None:
+            ways[-1][1] = islice(_ways(have, capacity, width), ways[-1][0], None)
+        ways[-1][0] += 1
+        filling, times = next(ways[-1][1], (None, 0))
+        allowed = (best - 1) * capacity - total - waste  # to beat the incumbent
+        if filling is None or filling and capacity - sum(filling) > allowed:
+            ways.pop()
             continue
-        if waste > (best - 1) * capacity - total or used + -(-int((have * np.arange(capacity + 1)).sum()) // capacity) >= best:
+        if not filling:
             continue
-        steps -= 1
-        for filling in reversed(fillings(have, capacity, branches)):
-            need = Counter(filling)
-            times = min(int(have[s]) // n for s, n in need.items())
-            rest = have.copy()
-            for s, n in need.items():
-                rest[s] -= n * times
-            stack.append((rest, [*done, (filling, times)], used + times, waste + times * (capacity - sum(filling))))
-    return incumbent
+        spare = capacity - sum(filling)
+        times = min(times, allowed // spare) if spare else times
+        done.append((filling, times))
+        use(filling, times)
+        if packed < total:
+            ways.append([0, None])
+            if len(ways) > OPEN:  # those further up are made again when it comes to them, for memory's sake
+                ways[-OPEN - 1][1] = None
+        else:
+            best, found = used, list(done)
+    return looked, found
+
+
+def _ways(have: np.ndarray, capacity: int, width: int | None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Fillings and times to go on with, `width` of them or all; an empty filling for one that is dominated."""
+    have, seen = have.copy(), set()
+    for filling in fillings(have, capacity):
+        if filling is None:
+            yield (), 0
+            continue
+        if width and filling[1:2] in seen:  # few choices, and of different second pieces
+            yield (), 0
+            continue
+        seen.add(filling[1:2])
+        most = min(int(have[s]) // n for s, n in Counter(filling).items())
+        yield filling, most
+        if most > 1 and not width:
+            yield filling, 1
+        if len(seen) == width:
+            return
 
 
 def _cutter(tokenizer: str, end_id: int, capacity: int):
@@ -183,13 +270,13 @@ def layout(fillings_: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple]:
     return {size: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for size, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, branches: int = 3, steps: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, steps: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     rows = common.columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("copy", F.monotonically_increasing_id())  # only to break ties among repeated rows
     pieces = common.stored(rows.mapInArrow(_cutter(tokenizer, end_id, capacity), PIECE), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    chosen = layout(plan(counts, capacity, branches, steps))
+    chosen = layout(plan(counts, capacity, steps))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(common.partitions(docs.sparkSession))))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))

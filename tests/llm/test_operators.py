@@ -293,6 +293,50 @@ def test_bin_completion_beats_best_fit():
         assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 100))
 
 
+def test_fillings_are_the_undominated_ones():
+    """Against all fillings, each held against all others."""
+    rng = random.Random(1)
+
+    def gives_way(f, g):
+        """Whether the pieces of g can be cut into those of f."""
+        if not f:
+            return True
+        return any(f[0] <= x and gives_way(f[1:], [*g[:i], x - f[0], *g[i + 1 :]]) for i, x in enumerate(g))
+
+    for _ in range(60):
+        capacity = rng.randint(8, 24)
+        have = np.zeros(capacity + 1, np.int64)
+        for _ in range(rng.randint(1, 9)):
+            have[rng.randint(2, capacity)] += rng.randint(1, 3)
+        largest = int(np.flatnonzero(have)[-1])
+        left = [s for s in range(capacity, 0, -1) for _ in range(have[s] - (s == largest))]
+        every = {()}
+        for s in left:
+            every |= {(*f, s) for f in every if sum(f) + s <= capacity - largest}
+        want = {f for f in every if not any(g != f and gives_way(list(f), list(g)) for g in every)}
+        got = [f for f in packing.fillings(have, capacity) if f]
+        assert sorted(f[1:] for f in got) == sorted(want) and all(f[0] == largest for f in got)
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+@pytest.mark.parametrize(
+    ("capacity", "counts", "most"),
+    [
+        (100, {51: 100, 20: 100, 17: 100, 12: 100, 19: 1}, 101),
+        (60, {32: 38, 21: 89, 48: 48, 54: 131, 17: 171, 19: 64, 51: 88, 11: 26, 60: 181, 13: 193, 10: 58, 34: 86, 12: 84}, 685),
+    ],
+)
+def test_packing_of_few_lengths(capacity, counts, most):
+    """A largest piece that is best filled by smaller ones than the first that fit; chains of the largest need 687."""
+    plan = packing.plan(counts, capacity)
+    assert sum(n for _, n in plan) <= most
+    assert all(sum(f) <= capacity for f, _ in plan) and {s: sum(f.count(s) * n for f, n in plan) for s in counts} == counts
+    assert packing.plan({}, capacity) == []
+    have = np.bincount(list(counts), list(counts.values()), capacity + 1).astype(np.int64)
+    if capacity == 100:
+        assert (51, 20, 17, 12) in list(packing.fillings(have, capacity))
+
+
 # 7
 
 
