@@ -5,8 +5,11 @@ the resulting picture, through its integral image, at every frame; each gives tw
 32-bit integer. Two recordings are aligned at the offset that most of their equal integers agree on, and linked if few
 bits differ where they overlap.
 
-Candidates share `run` equal integers in a row. Each recording is first aligned with the leader of each of its runs; of a
-run whose recordings are then still in different components, blocks of 64 are aligned with blocks of 64.
+Candidates follow from the link rule. Recordings of which one has at most 128 integers can only have 8 equal ones at an
+offset if two of these are no further apart than a seventh of that length: they share a key of two integers and their
+distance. Longer ones share a single integer as key. Integers that one recording alone has make no keys, nor does a recording
+with fewer than 8 others. Each recording is first aligned with the leader of each of its keys; of a key whose recordings are
+then still in different components, blocks of 64 are aligned with blocks of 64.
 
 Defined cases: null audio, and audio shorter than a fingerprint's first window, has no integers and is linked with
 nothing; a trailing odd byte is left out; repeated rows are recordings of their own with equal fingerprints; an empty
@@ -24,9 +27,12 @@ from pyspark.sql import functions as F
 
 from . import common
 from .graphs import components
+from .shingle_join import _mix
 
 FRAME, HOP, SPAN = 1024, 256, 16
 BLOCK = 64
+#: Recordings with more integers than this meet by single ones.
+SHORT = 128
 THRESHOLDS = (-0.15, 0.0, 0.15)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -101,24 +107,54 @@ def linked(a: np.ndarray, b: np.ndarray, votes: int, errors: float, overlap: flo
     return n >= votes and share <= errors and both >= overlap * min(len(a), len(b))
 
 
-def _printer(run: int):
+def _printer(batches):
+    classes: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i in range(0, b.num_rows, 200):
+            rows = b.slice(i, 200)
+            prints, digests = [], []
+            for audio, rate in zip(rows.column("audio").to_pylist(), rows.column("rate").to_pylist(), strict=True):
+                if rate and rate not in classes:
+                    classes[rate] = pitch_classes(rate)
+                p = fingerprint(audio, rate, classes[rate]) if rate else np.zeros(0, np.uint32)
+                prints.append(p.tobytes())
+                digests.append(hashlib.blake2b(prints[-1], digest_size=16).digest())
+            yield pa.record_batch([rows.column("media_id"), rows.column("row"), pa.array(prints, pa.binary()), pa.array(digests, pa.binary())], ["media_id", "row", "print", "digest"])
+
+
+def _codes(batches):
+    """The different integers of each recording."""
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            rows = b.slice(i, 1000)
+            codes = [np.unique(np.frombuffer(p, np.uint32)) for p in rows.column("print").to_pylist()]
+            node = np.repeat(rows.column("node").to_numpy(), [len(c) for c in codes])
+            yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate([*codes, np.zeros(0, np.uint32)]).view(np.int32))], ["node", "code"])
+
+
+def keys(p: np.ndarray, shared: np.ndarray, votes: int) -> np.ndarray:
+    """Of two recordings with `votes` equal integers at one offset, at least one key is the same."""
+    ok = np.isin(p, shared)
+    if ok.sum() < votes:
+        return np.zeros(0, np.int64)
+    out = []
+    if votes > 1:
+        for d in range(1, (min(len(p), SHORT) - 1) // (votes - 1) + 1):
+            at = np.flatnonzero(ok[:-d] & ok[d:])
+            out.append(_mix(_mix(p[at].astype(np.uint64) << np.uint64(32) | p[at + d]) + np.uint64(d)))
+    if votes == 1 or len(p) > SHORT:
+        out.append(_mix(p[ok].astype(np.uint64)))
+    return np.unique(np.concatenate([*out, np.zeros(0, np.uint64)])).view(np.int64)
+
+
+def _keyed(votes: int):
     def go(batches):
-        classes: dict[int, np.ndarray] = {}
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 rows = b.slice(i, 200)
-                prints, digests, keys = [], [], []
-                for audio, rate in zip(rows.column("audio").to_pylist(), rows.column("rate").to_pylist(), strict=True):
-                    if rate and rate not in classes:
-                        classes[rate] = pitch_classes(rate)
-                    p = fingerprint(audio, rate, classes[rate]) if rate else np.zeros(0, np.uint32)
-                    prints.append(p.tobytes())
-                    digests.append(hashlib.blake2b(prints[-1], digest_size=16).digest())
-                    keys.append(sorted({hashlib.blake2b(p[j : j + run].tobytes(), digest_size=8).digest() for j in range(len(p) - run + 1)}))
-                yield pa.record_batch(
-                    [rows.column("media_id"), rows.column("row"), pa.array(prints, pa.binary()), pa.array(digests, pa.binary()), pa.array([[int.from_bytes(k, "little", signed=True) for k in ks] for ks in keys], pa.list_(pa.int64()))],
-                    ["media_id", "row", "print", "digest", "keys"],
-                )
+                found = [keys(np.frombuffer(p, np.uint32), np.array(c, np.int32).view(np.uint32), votes) for p, c in zip(rows.column("print").to_pylist(), rows.column("shared").to_pylist(), strict=True)]
+                node = np.repeat(rows.column("node").to_numpy(), [len(k) for k in found])
+                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["node", "key"])
 
     return go
 
@@ -149,13 +185,12 @@ def _blocks(votes: int, errors: float, overlap: float):
     return go
 
 
-def align_recordings(media: DataFrame, run: int = 4, votes: int = 8, errors: float = 0.15, overlap: float = 0.5) -> DataFrame:
-    """media_id, n_codes, print_sha256, component_id of every row: the smallest media_id that links lead to."""
-    rows = common.columns(media, media_id="long", audio="binary", rate="int").withColumn("row", F.monotonically_increasing_id())
-    prints = common.stored(rows.mapInArrow(_printer(run), "media_id long, row long, print binary, digest binary, keys array<long>"), "prints")
-    first = prints.filter("length(print) > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("media_id").alias("low"))
-    nodes = prints.join(first.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "print", "keys")
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+def components_of_prints(nodes: DataFrame, votes: int = 8, errors: float = 0.15, overlap: float = 0.5) -> DataFrame:
+    """node, label of the nodes (node, print) that have links, each print being there once."""
+    codes = common.stored(nodes.mapInArrow(_codes, "node long, code int"), "print-codes")
+    several = codes.groupBy("code").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("code")
+    shared = codes.join(several, "code", "left_semi").groupBy("node").agg(F.collect_list("code").alias("shared"))
+    keys = common.stored(nodes.join(shared, "node").mapInArrow(_keyed(votes), "node long, key long"), "print-all-keys")
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
     lists = common.stored(keys.join(lead.select("key", "lead"), "key"), "print-keys")
     check = _checker(votes, errors, overlap)
@@ -169,7 +204,16 @@ def align_recordings(media: DataFrame, run: int = 4, votes: int = 8, errors: flo
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     met = met.select("key", "node", "comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
     more = met.join(only, "node").groupBy("key", "i", "j").applyInArrow(_blocks(votes, errors, overlap), "a long, b long").distinct()
-    label = components(found.unionByName(common.stored(more, "print-links")))
+    return components(found.unionByName(common.stored(more, "print-links")))
+
+
+def align_recordings(media: DataFrame, votes: int = 8, errors: float = 0.15, overlap: float = 0.5) -> DataFrame:
+    """media_id, n_codes, print_sha256, component_id of every row: the smallest media_id that links lead to."""
+    rows = common.columns(media, media_id="long", audio="binary", rate="int").withColumn("row", F.monotonically_increasing_id())
+    prints = common.stored(rows.mapInArrow(_printer, "media_id long, row long, print binary, digest binary"), "prints")
+    first = prints.filter("length(print) > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("media_id").alias("low"))
+    nodes = prints.join(first.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "print")
+    label = components_of_prints(nodes, votes, errors, overlap)
     classes = first.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classes.join(classes.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("digest", "component_id")
     out = prints.select("media_id", (F.length("print") / 4).cast("long").alias("n_codes"), F.sha2("print", 256).alias("print_sha256"), "digest").join(classes, "digest", "left")

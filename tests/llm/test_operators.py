@@ -159,6 +159,36 @@ def test_audio(spark):
     assert audio.align_recordings(media.limit(0)).count() == 0
 
 
+def test_audio_noisy_copies(spark):
+    """Copies with bit errors that leave hardly a run of equal integers, short ones and long, against all pairs."""
+    rng = np.random.default_rng(7)
+    prints = []
+    for n, share in ((46, 0.03), (110, 0.05), (110, 0.02), (128, 0.05), (129, 0.05), (1000, 0.08), (1000, 0.05)):
+        base = rng.integers(0, 2**32, n, dtype=np.uint32)
+        prints.append(base)
+        for skip in (0, 0, n // 5):
+            noise = np.packbits(rng.random((n, 32)) < share, axis=1).view(np.uint32).ravel()
+            prints.append((base ^ noise)[skip:])
+    long = rng.integers(0, 2**32, 1000, dtype=np.uint32)
+    prints += [long, long[300:400] ^ np.where(rng.random(100) < 0.2, 0, 1 << rng.integers(0, 32, 100)).astype(np.uint32)]
+    runs, pairs = 0, []
+    for i in range(len(prints)):
+        for j in range(i):
+            if audio.linked(prints[j], prints[i], 8, 0.15, 0.5):
+                pairs.append((j, i))
+                at = lambda p: {p[k : k + 4].tobytes() for k in range(len(p) - 3)}
+                runs += bool(at(prints[j]) & at(prints[i]))
+    assert len(pairs) >= 25 and runs < len(pairs) / 2
+    want = list(range(len(prints)))
+    for _ in prints:
+        for j, i in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "node long, print binary").repartition(3)
+    got = dict(audio.components_of_prints(nodes).collect())
+    label = [got.get(i, i) for i in range(len(prints))]
+    assert [label.index(x) for x in label] == want
+
+
 # 4
 
 
