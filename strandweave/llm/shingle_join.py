@@ -1,45 +1,56 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds 64-bit hashes of its word shingles. Equal sets are one node from the start. Two sets of a
-similarity of t share a token among their first (1 - t) n + 1 tokens in any common order; the order here is by how many
-sets have the token, over a fixed fifth of the hash space, so that a document with enough tokens of its own has no
-candidates, whatever passages it shares.
+A document's set holds 64-bit hashes of its word shingles. Sets with a similarity of t share a token among their first
+n - ceil(t n) + 1 tokens in any common order. The order here is by how many sets have a token: tokens of one set alone come
+first and lead nowhere, so that a document with enough tokens of its own has no candidates, whatever passages it shares.
 
-Sets with a token in common are partitioned into groups of similar ones, by their smallest token that another set has; a
-group's leader is one with few tokens of its own. First each set is compared with its leader, which settles large groups of copies in one comparison a document. Where a
-token still joins sets of different components, the matrix tells which groups of sets it leads to; a group stores the
-union of its sets' tokens, the union's overlap with the query bounds every similarity within, and only groups that the
-bound admits are opened. Every pair of sets that could link is in one component by then, or was compared.
+How many sets have a token is counted twice, by runs of packed tokens that are exchanged by token range and never become
+rows: first for a fixed slice of the hash space, twice as large as a prefix, which settles most documents; then, for the
+documents that are left, for all their tokens.
 
-Tokens that a 64th of the documents share are counted within tasks first, and the table of them is of bounded size.
+Sets are partitioned into groups of similar ones, by the smallest hashes of their shared tokens. A set is first compared
+with the leaders of its groups, those with the fewest tokens of their own, which settles groups of copies in a few
+comparisons a document. Where a token of a prefix still joins sets of different components, the token-group matrix tells
+which groups of sets it leads to. A group stores the union of its sets' tokens, hashed to bits; what of the query's bits
+is not in the union bounds its overlap with every set within, and only groups that the bound admits are sent the query's
+tokens and opened. Every pair of sets that could link is in one component by then, or was compared.
 
 Defined cases: null and empty texts, and those without words, have no shingles and are linked with nothing; repeated
-rows are nodes' members like any other; an empty table gives an empty result; columns besides doc_id and text are
-ignored; a component's id is the smallest doc_id in it that is not null.
+rows and equal sets are one node's members; an empty table gives an empty result; columns besides doc_id and text are
+ignored; a component's id is the smallest doc_id in it that is not null; texts of any length are taken in pieces.
 """
 
 from __future__ import annotations
 
+import struct
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .graphs import components
 
-#: Tokens below this in the top byte of their hash are counted: 52 / 256 of them.
-SLICE = np.uint64(52 << 56)
-GROUP = 64
-ASKED = 1024
-_STEP = 2_000_000
+#: Sets in a group, and tokens in a group, a run, or the queries that one task puts to a group: they bound memory alone.
+GROUP = 128
+TOKENS = 1 << 20
+#: Ranges of tokens for each partition: a task takes them one after another.
+RANGES = 4
+KEYS = 3
+_STEP = 1_000_000
 _TABLE = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
 
+# Sets.
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -59,29 +70,55 @@ def shingle_sets(texts: list[str | None], words: int = 4) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     part, size = [], 0
     for t in texts:
-        part.append((t or "").encode())
-        size += len(part[-1]) + 1
+        data = (t or "").encode().translate(_TABLE)
+        if len(data) > _STEP:
+            out += _sets(part, words) if part else []
+            part, size = [], 0
+            out.append(_long(data, words))
+            continue
+        part.append(data)
+        size += len(data) + 1
         if size > _STEP:
             out += _sets(part, words)
             part, size = [], 0
     return out + (_sets(part, words) if part else [])
 
 
-def _sets(parts: list[bytes], words: int) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join([*parts, b""]).translate(_TABLE), np.uint8)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words, and where they start."""
+    data = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], data != 32, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return [np.zeros(0, np.uint64)] * len(parts)
     power, inverse = _powers(len(data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
-    word = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, np.concatenate([[0], ends]))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def _long(data: bytes, words: int) -> np.ndarray:
+    """A long text's set: its words are hashed piece by piece."""
+    found, start = [], 0
+    while start < len(data):
+        end = data.find(b" ", start + _STEP)
+        end = len(data) if end < 0 else end
+        found.append(_hashed(data[start:end])[0])
+        start = end
+    word = np.concatenate(found)
+    return _each(word, np.array([0, len(word)]), words)[0]
+
+
+def _sets(parts: list[bytes], words: int) -> list[np.ndarray]:
+    word, start = _hashed(b" ".join([*parts, b""]))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return _each(word, np.searchsorted(start, np.concatenate([[0], ends])), words)
+
+
+def _each(word: np.ndarray, first: np.ndarray, words: int) -> list[np.ndarray]:
+    """The sets of texts, of which each begins at one of `first`."""
     n = len(word)
     shingle = word.copy()
-    for j in range(1, words):
+    for j in range(1, min(words, n)):
         shingle[: n - j] = _mix(shingle[: n - j] * _BASE + word[j:])
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist()):
@@ -103,195 +140,418 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _prefix(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+def _arrays(column) -> list[np.ndarray]:
+    """The lists of a column of array<long>, as unsigned numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return [values[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+
+
+def _slices(batches, most: int, size):
+    """The rows of batches, so many at a time that their sizes add up to about `most`."""
+    for b in batches:
+        after, at = np.cumsum(size(b)), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def _bytes(b) -> np.ndarray:
+    return pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
+
+
+# Runs of tokens.
+
+RUN = "part int, block long, doc_id array<long>, text_hash array<long>, row array<long>, n array<long>, sent array<long>, digest array<binary>, same array<int>, run binary"
+_NAMES = [c.split()[0] for c in RUN.split(", ")]
+_LISTS = [*[pa.list_(pa.int64())] * 5, pa.list_(pa.binary()), pa.list_(pa.int32())]
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte: the high bytes of small numbers cost nothing."""
+    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(arrays[0])) + b"".join(parts))
+
+
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,), at, out = struct.unpack_from("<I", raw), 4, []
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        cells = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(cells.T).reshape(-1).view(kind))
+        at += size
+    return out
+
 
+def _runs(block: int, sets: list[np.ndarray], parts: int, top: int, drop: int):
+    """(part, run) for a block's sets: its tokens below `top` by range, sorted, each with the place of its set."""
+    tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    order = np.argsort(tokens)
+    tokens, owner = tokens[order] >> np.uint64(drop), owner[order]
+    edges = np.array([(top * i // parts) >> drop for i in range(1, parts)], np.uint64)
+    cut = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
+    for p in range(parts):
+        if cut[p] < cut[p + 1]:
+            own = tokens[cut[p] : cut[p + 1]]
+            yield p, _pack(np.diff(own, prepend=np.uint64(0)), owner[cut[p] : cut[p + 1]])
+
+
+class _Block:
+    """Sets on their way to the ranges; rows with equal sets send them once."""
+
+    def __init__(self, parts: int, top: int, drop: int):
+        self.parts, self.top, self.drop, self.number = parts, top, drop, 0
+        self.clear()
+
+    def clear(self):
+        self.info: list[tuple] = []
+        self.sets: list[np.ndarray] = []
+        self.places: dict[bytes, int] = {}
+        self.size = 0
+
+    def add(self, doc_id, text_hash, row, n, digest, tokens):
+        place = self.places.setdefault(digest, len(self.sets))
+        if place == len(self.sets):
+            self.sets.append(tokens)
+            self.size += len(tokens)
+        self.info.append((doc_id, text_hash, row, n, len(tokens), digest, place))
+        return self.size >= TOKENS or len(self.info) >= 60_000
+
+    def close(self):
+        if not self.info:
+            return
+        block = TaskContext.get().partitionId() << 32 | self.number
+        none = [None] * len(_LISTS)
+        rows = [(block % self.parts, block, *map(list, zip(*self.info, strict=True)), None)]
+        rows += [(p, block, *none, run) for p, run in _runs(block, self.sets, self.parts, self.top, self.drop)]
+        kinds = [pa.int32(), pa.int64(), *_LISTS, pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+        self.number += 1
+        self.clear()
+
+
+def _describe(words: int, parts: int, top: int):
+    """Documents' sets; of their tokens those below `top` are sent, without the last 16 bits."""
 
-def _describe(words: int, num: int, den: int):
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                rows = b.slice(i, 2000)
-                sets = shingle_sets(rows.column("text").to_pylist(), words)
-                kept = [int(np.searchsorted(s, SLICE)) for s in sets]
-                need = [_prefix(len(s), num, den) if len(s) else 0 for s in sets]
-                low = [s[: max(k, p)] for s, k, p in zip(sets, kept, need, strict=True)]
-                digest = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                columns = [rows.column("doc_id"), rows.column("text_hash"), rows.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(kept, pa.int32()), pa.array(need, pa.int32()), _lists(low)]
-                yield pa.record_batch(columns, ["doc_id", "text_hash", "row", "n", "digest", "kept", "need", "low"])
+        block = _Block(parts, top, 16)
+        for rows in _slices(batches, _STEP, _bytes):
+            sets = shingle_sets(rows.column("text").to_pylist(), words)
+            names = zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text_hash", "row")), strict=True)
+            for name, s in zip(names, sets, strict=True):
+                low = s[: np.searchsorted(s, np.uint64(top))] if top < 1 << 64 else s
+                if block.add(*name, len(s), blake2b(s.tobytes(), digest_size=16).digest(), low.copy()):
+                    yield from block.close()
+        yield from block.close()
 
     return run
 
 
-def _split(hot: np.ndarray):
-    """From a set's low tokens: those to count, the hot ones, and those beyond the slice."""
+def _send(parts: int):
+    """Nodes' sets, all their tokens."""
 
     def run(batches):
+        block = _Block(parts, 1 << 64, 0)
+        for rows in _slices(batches, TOKENS, lambda b: b.column("n").to_numpy()):
+            for node, n, tokens in zip(rows.column("node").to_pylist(), rows.column("n").to_pylist(), _arrays(rows.column("tokens")), strict=True):
+                if block.add(None, None, node, n, node.to_bytes(8, "big", signed=True), tokens.copy()):
+                    yield from block.close()
+        yield from block.close()
+
+    return run
+
+
+def _counter(named: bool):
+    """Which tokens of a range several sets have: for each block how many of each set, or (`named`) the tokens themselves."""
+
+    def settle(runs: list):
+        found = [_unpack(r, "<u8", "<u2") for _, r in runs]
+        tokens = np.concatenate([np.cumsum(t) for t, _ in found])
+        order = np.argsort(tokens, kind="stable")
+        ranked = tokens[order]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        group = np.cumsum(first) - 1
+        many = np.empty(len(tokens), np.uint32)
+        many[order] = np.bincount(group).astype(np.uint32)[group]
+        end = 0
+        for (block, _), (t, owner) in zip(runs, found, strict=True):
+            start, end = end, end + len(t)
+            at = start + np.flatnonzero(many[start:end] > 1)
+            if not len(at):
+                continue
+            if named:
+                yield block, _pack(owner[at - start], many[at], tokens[at])
+            else:
+                n = np.bincount(owner[at - start])
+                which = np.flatnonzero(n)
+                yield block, _pack(which.astype("<u2"), n[which].astype("<u4"))
+
+    def run(batches):
+        by: dict[int, list] = {}
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                rows = b.slice(i, 2000)
-                counted, shared, beyond = [], [], []
-                for low, k in zip(rows.column("low"), rows.column("kept").to_pylist(), strict=True):
-                    t = low.values.to_numpy().view(np.uint64)
-                    is_hot = np.isin(t[:k], hot, assume_unique=True) if len(hot) else np.zeros(k, bool)
-                    counted.append(t[:k][~is_hot])
-                    shared.append(t[:k][is_hot])
-                    beyond.append(t[k:])
-                yield pa.record_batch([rows.column("row"), rows.column("kept"), rows.column("need"), _lists(counted), _lists(shared), _lists(beyond)], ["node", "kept", "need", "counted", "shared", "beyond"])
+            is_run = b.column("run").is_valid()
+            info = b.filter(pc.invert(is_run))
+            if info.num_rows:
+                yield info
+            runs = b.filter(is_run)
+            for part, block, blob in zip(*(runs.column(c).to_pylist() for c in ("part", "block", "run")), strict=True):
+                by.setdefault(part, []).append((block, blob))
+        for part in sorted(by):
+            done = list(settle(by.pop(part)))
+            if done:
+                n = len(done)
+                columns = [pa.array([part] * n, pa.int32()), pa.array([x for x, _ in done], pa.int64()), *(pa.nulls(n, k) for k in _LISTS), pa.array([x for _, x in done], pa.binary())]
+                yield pa.record_batch(columns, _NAMES)
 
     return run
 
 
-def _common(batches):
-    """Tokens that a 64th of this task's sets share, and how many do."""
-    tokens, sets = [], 0
-    for b in batches:
-        for low, k in zip(b.column("low"), b.column("kept").to_pylist(), strict=True):
-            tokens.append(low.values.to_numpy()[:k])
-            sets += 1
-    if sets:
-        token, n = np.unique(np.concatenate(tokens), return_counts=True)
-        often = n >= max(8, sets / 64)
-        yield pa.record_batch([pa.array(token[often], pa.int64()), pa.array(n[often], pa.int64())], ["token", "n"])
+def _head(table: pa.Table) -> tuple[dict, list[bytes]]:
+    """A block's rows, and the answers for it."""
+    is_run = table.column("run").is_valid()
+    return table.filter(pc.invert(is_run)).to_pylist()[0], table.column("run").filter(is_run).to_pylist()
+
+
+def _assess(table: pa.Table) -> pa.Table:
+    """How many tokens of each row's slice no other set has."""
+    info, answers = _head(table)
+    shared = np.zeros(max(info["same"]) + 1, np.int64)
+    for r in answers:
+        which, n = _unpack(r, "<u2", "<u4")
+        shared[which] += n
+    alone = np.array(info["sent"]) - shared[info["same"]]
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "row": pa.int64(), "n": pa.int64(), "digest": pa.binary()}
+    return pa.table([*(pa.array(info[c], k) for c, k in kinds.items()), pa.array(alone)], [*kinds, "alone"])
+
+
+def _bits(tokens: np.ndarray, n: int) -> bytes:
+    """Tokens hashed to at least 8 n bits, a power of two; the higher half folds onto the lower one."""
+    size = 64
+    while size < 8 * n:
+        size *= 2
+    out = np.zeros(size, bool)
+    out[(_mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+NODE = "node long, n long, many long, prefix array<long>, keys array<long>, bits binary, tokens array<long>"
+
+
+def _rank(num: int, den: int):
+    """Nodes that could link: their shared tokens, the part of their prefix that others have, group keys and bits."""
+
+    def run(table: pa.Table) -> pa.Table:
+        info, answers = _head(table)
+        found = [_unpack(r, "<u2", "<u4", "<u8") for r in answers]
+        owner, many, tokens = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.uint64)]) for i in range(3))
+        order = np.lexsort((tokens, many, owner))
+        owner, tokens = owner[order], tokens[order].astype(np.uint64)
+        cut = np.searchsorted(owner, np.arange(len(info["row"]) + 1))
+        out: list[list] = [[] for _ in range(7)]
+        for i, (node, n) in enumerate(zip(info["row"], info["n"], strict=True)):
+            own = tokens[cut[i] : cut[i + 1]]
+            left = n + num * n // -den + 1 - (n - len(own))  # of the prefix, what is not the set's alone
+            if left > 0 and len(own):
+                keys = [_mix(own + np.uint64(k + 1)).min() for k in range(KEYS)]
+                for column, v in zip(out, (node, n, len(own), own[:left], np.array(keys, np.uint64), _bits(own, n), np.sort(own)), strict=True):
+                    column.append(v)
+        longs = [pa.array(c, pa.int64()) for c in out[:3]]
+        return pa.table([*longs, _lists(out[3]), _lists(out[4]), pa.array(out[5], pa.binary()), _lists(out[6])], ["node", "n", "many", "prefix", "keys", "bits", "tokens"])
+
+    return run
 
 
 def _full(words: int):
+    """The sets of texts that were chosen by their hashes, where the text is the one that was meant."""
+
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                rows = b.slice(i, 2000)
-                sets = shingle_sets(rows.column("text").to_pylist(), words)
-                same = [j for j, (s, d) in enumerate(zip(sets, rows.column("digest").to_pylist(), strict=True)) if blake2b(s.tobytes(), digest_size=16).digest() == d]
-                rows = rows.take(pa.array(same, pa.int64()))
-                yield pa.record_batch([rows.column("node"), rows.column("lead"), rows.column("n"), _lists([sets[j] for j in same])], ["node", "lead", "n", "tokens"])
+        for rows in _slices(batches, _STEP, _bytes):
+            sets = shingle_sets(rows.column("text").to_pylist(), words)
+            same = [j for j, (s, d) in enumerate(zip(sets, rows.column("digest").to_pylist(), strict=True)) if blake2b(s.tobytes(), digest_size=16).digest() == d]
+            rows = rows.take(pa.array(same, pa.int64()))
+            yield pa.record_batch([rows.column("node"), rows.column("n"), _lists([sets[j] for j in same])], ["node", "n", "tokens"])
+
+    return run
+
+
+# Groups.
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def _words(column) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
+
+
+def _standing(t: pa.Table) -> list[tuple[int, int]]:
+    """Of two components the smaller one asks; equal ones by label."""
+    return list(zip(t.column("members").to_pylist(), t.column("comp").to_pylist(), strict=True))
+
+
+def _admit(num: int, den: int):
+    """Queries against one group: the bound by the union first, then by each member; those that pass."""
+
+    def run(key, asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and held.num_rows:
+            of, sizes, many, mine = _standing(held), held.column("n").to_numpy(), held.column("many").to_numpy(), _words(held.column("bits"))
+            by = {w: np.flatnonzero([len(m) == w for m in mine]) for w in {len(m) for m in mine}}
+            by = {w: (rows, np.stack([mine[r] for r in rows])) for w, rows in by.items()}
+            union = {w: np.bitwise_or.reduce(bits, axis=0) for w, (_, bits) in by.items()}
+            folded: dict[tuple[int, int], tuple] = {}
+            queries = zip(asked.column("node").to_pylist(), _standing(asked), asked.column("n").to_pylist(), asked.column("many").to_pylist(), _words(asked.column("bits")), strict=True)
+            for node, standing, n, m, bits in queries:
+                for w, (rows, _) in by.items():
+                    w2 = min(w, len(bits))
+                    if (w, w2) not in folded:
+                        folded[w, w2] = _fold(union[w], w2), _fold(by[w][1], w2)
+                    whole, each = folded[w, w2]
+                    q = _fold(bits, w2)
+                    least = int(sizes[rows].min())
+                    if (num + den) * (m - int(np.bitwise_count(q & ~whole).sum())) < num * (n + least):
+                        continue
+                    over = np.minimum(m - np.bitwise_count(q & ~each).sum(axis=1, dtype=np.int64), many[rows] - np.bitwise_count(~q & each).sum(axis=1, dtype=np.int64))
+                    if any(of[rows[j]] > standing for j in np.flatnonzero((num + den) * over >= num * (n + sizes[rows])).tolist()):
+                        found.append(node)
+                        break
+        return pa.table({"node": pa.array(found, pa.int64()), "group": pa.array(held.column("group").to_pylist()[:1] * len(found), pa.int64())})
 
     return run
 
 
 def _opener(num: int, den: int):
-    """Queries against one group: the union's bound first, then the members; links between different components."""
+    """Queries against the sets of a group that the bound admits: a link to each other component."""
 
-    def run(key, asked, held):
-        nodes, comps = held.column("node").to_pylist(), held.column("comp").to_pylist()
-        large = bool(held.num_rows) and held.column("large")[0].as_py()
-        sets = [np.sort(np.array(t, np.int64)) for t in held.column("tokens").to_pylist()]
+    def run(key, asked: pa.Table, held: pa.Table) -> pa.Table:
         a, b = [], []
-        if asked.num_rows and sets:
-            union = np.unique(np.concatenate(sets))
+        if asked.num_rows and held.num_rows:
+            nodes, of, sizes, sets = held.column("node").to_pylist(), _standing(held), held.column("n").to_numpy(), _arrays(held.column("tokens"))
+            flat = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            place = np.searchsorted(union, np.concatenate(sets))
-            sizes = np.array([len(s) for s in sets])
-            for q, c, tokens in zip(*(asked.column(x).to_pylist() for x in ("node", "comp", "tokens")), strict=True):
-                n = len(tokens)
-                query = np.array(tokens, np.int64)
-                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                hit = union[at] == query
-                if den * int(hit.sum()) < num * n:
-                    continue
-                mine = np.zeros(len(union), bool)
-                mine[at[hit]] = True
-                overlap = np.bincount(owner[mine[place]], minlength=len(sets))
-                seen = {c}
+            queries = zip(asked.column("node").to_pylist(), _standing(asked), asked.column("n").to_pylist(), _arrays(asked.column("tokens")), strict=True)
+            for node, standing, n, tokens in queries:
+                at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+                overlap = np.bincount(owner[tokens[at] == flat], minlength=len(sets))
+                seen = set()
                 for j in np.flatnonzero(den * overlap >= num * (n + sizes - overlap)).tolist():
-                    # Of two sets in small components, each asks the other's group; one of them is enough.
-                    if comps[j] not in seen and (large or q < nodes[j]):
-                        seen.add(comps[j])
-                        a.append(q)
+                    if of[j] > standing and of[j] not in seen:
+                        seen.add(of[j])
+                        a.append(node)
                         b.append(nodes[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def links(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between nodes that join every component of similar sets. `sets` is a stored table of _describe."""
-    spark = sets.sparkSession
-    first = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("row"))
-    nodes = sets.join(first.select("row"), "row", "left_semi").select("row", "doc_id", "text_hash", "digest", "n", "kept", "need", "low")
-    nodes = common.stored(nodes, "shingle-nodes")
-    common_ = nodes.select("kept", "low").mapInArrow(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    # Of a token in this table each set has one, so that it holds no more than 256 mean set sizes.
-    hot = [r.token for r in common_.filter(F.col("n") >= max(256, nodes.count() / 256)).select("token").collect()]
-    parts = nodes.select("row", "kept", "need", "low").mapInArrow(_split(np.array(sorted(hot), np.int64).view(np.uint64)), "node long, kept int, need int, counted array<long>, shared array<long>, beyond array<long>")
-    rows = parts.select("node", F.explode("counted").alias("token"))
-    counted = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = rows.join(counted, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("dup"))
-    small = parts.select("node", "need", "shared", "beyond", (F.size("counted")).alias("n_counted"))
-    each = small.join(rows, "node", "left").withColumn("dup", F.coalesce(F.transform("dup", lambda x: x["token"]), F.array().cast("array<long>")))
-    # The order: tokens of one set alone, of which nothing comes, then by number of sets, then hot ones, then the others.
-    each = each.withColumn("left", F.col("need") - (F.col("n_counted") - F.size("dup")))
-    # How many of its tokens no other set has: a group's leader is one with few, such as the text that copies were made of.
-    lonely = ((F.col("n_counted") - F.size("dup")) / F.greatest(F.col("n_counted") + F.size("shared"), F.lit(1))).alias("lonely")
-    # Similar sets mostly have the same smallest shared token, which names their group.
-    key = F.coalesce(F.array_min(F.concat("dup", "shared")), F.lit(0)).alias("key")
-    each = each.filter("left > 0").select("node", lonely, key, F.concat(F.slice("dup", 1, F.greatest(F.col("left"), F.lit(0))), F.when(F.col("left") > F.size("dup"), F.slice("shared", 1, F.greatest(F.col("left") - F.size("dup"), F.lit(1)))).otherwise(F.array().cast("array<long>")), F.when(F.col("left") > F.size("dup") + F.size("shared"), F.col("beyond")).otherwise(F.array().cast("array<long>"))).alias("tokens"))
-    lists = common.stored(each.select("node", "lonely", "key", F.explode("tokens").alias("token")), "shingle-prefixes")
-    several = lists.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("token")
-    met_ = lists.join(several, "token", "left_semi").select("node", "lonely", "key").distinct()
-    named = met_.join(met_.groupBy("key").agg(F.min(F.struct("lonely", "node"))["node"].alias("lead")), "key").select("node", "lead")
-    chosen = named.join(nodes.select(F.col("row").alias("node"), "doc_id", "text_hash", "digest", "n"), "node")
-    texts = common.columns(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
-    # The hash too: rows that share an id, or have none, would each be joined to all the others.
-    full = chosen.join(texts, (chosen["text_hash"] == texts["text_hash"]) & chosen["doc_id"].eqNullSafe(texts["doc_id"])).select("node", "lead", "n", "digest", "text").mapInArrow(_full(words), "node long, lead long, n long, tokens array<long>")
-    full = common.stored(full.dropDuplicates(["node"]) if _repeats(docs) else full, "shingle-sets")
-    left, right = full.filter("node <> lead").alias("x"), full.alias("y")
-    shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    pairs = left.join(right, F.col("x.lead") == F.col("y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), shared.alias("o"))
-    found = common.stored(pairs.filter(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b"), "shingle-links")
-    # What tokens still join different components.
+def _census(rows: DataFrame, ask, named: bool, result, schema: str) -> DataFrame:
+    """Tokens are sent to their ranges in runs, and what is found comes back to the blocks they came from."""
+    parts = common.partitions(rows.sparkSession)
+    runs = rows.mapInArrow(ask, RUN).repartitionById(parts, F.expr(f"part % {parts}"))
+    return runs.mapInArrow(_counter(named), RUN).groupBy("block").applyInArrow(result, schema)
+
+
+def describe(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """A stored row for each of docs: doc_id, text_hash, row, n, digest; alone: how many tokens of its slice no other has."""
+    rows = common.columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_hash"), "text")
+    top = min(1 << 64, (1 << 64) * 2 * (den - num) // den)
+    ask = _describe(words, RANGES * common.partitions(docs.sparkSession), top)
+    return common.stored(_census(rows, ask, False, _assess, "doc_id long, text_hash long, row long, n long, digest binary, alone long"), "shingles")
+
+
+def candidates(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The stored nodes that could link."""
+    few = F.expr(f"n > 0 AND alone < n - (n * {num} + {den - 1}) div {den} + 1")
+    chosen = sets.filter(few).groupBy("digest").agg(F.min(F.struct("row", "doc_id", "text_hash", "n")).alias("x"))
+    chosen = chosen.select(F.col("x.row").alias("node"), F.col("x.doc_id").alias("id"), F.col("x.text_hash").alias("hash"), F.col("x.n").alias("n"), "digest")
+    texts = common.columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    # By hash and id: rows that share an id, or have none, would each be joined to all the others.
+    full = texts.join(chosen, (chosen["hash"] == texts["text_hash"]) & chosen["id"].eqNullSafe(texts["doc_id"])).select("node", "n", "digest", "text")
+    full = full.mapInArrow(_full(words), "node long, n long, tokens array<long>")
+    names = sets.filter(few).groupBy("digest", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    if not names.filter("rows > 1").isEmpty():  # equal rows, each of which was joined to the one that stands for them
+        full = full.dropDuplicates(["node"])
+    full = common.stored(full, "shingle-sets")
+    ask = _send(RANGES * common.partitions(docs.sparkSession))
+    return common.stored(_census(full, ask, True, _rank(num, den), NODE), "shingle-nodes")
+
+
+def links(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join every component of similar nodes."""
+    both = num + den
+    small = nodes.select("node", "n", "many")
+    # Each node with the leaders of its groups.
+    keyed = nodes.select("node", "n", "many", F.posexplode("keys").alias("turn", "key"))
+    own = (1 - F.col("many") / F.col("n")).alias("own")
+    leads = keyed.groupBy("turn", "key").agg(F.min(F.struct(own, "node", "n", "many")).alias("lead"), F.count("*").alias("held")).filter("held > 1")
+    pairs = keyed.join(leads, ["turn", "key"]).select("node", "n", "many", F.col("lead.node").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.many").alias("many2"))
+    pairs = pairs.filter((F.col("node") != F.col("lead")) & (F.least("many", "many2") * both >= (F.col("n") + F.col("n2")) * num)).select("node", "lead").distinct()
+    left, right = nodes.select("node", "n", "tokens").alias("x"), nodes.select("node", "n", "tokens").alias("y")
+    sides = pairs.join(left, "node").select("node", "lead", F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    sides = sides.join(right, sides["lead"] == F.col("y.node")).select(sides["node"].alias("a"), F.col("lead").alias("b"), "na", F.col("y.n").alias("nb"), F.size(F.array_intersect("ta", F.col("y.tokens"))).alias("o"))
+    found = common.stored(sides.filter((F.col("o") * both >= (F.col("na") + F.col("nb")) * num)).select("a", "b"), "shingle-links")
+    # What tokens still join different components. A component that fills a group has groups of its own.
     label = components(found)
-    known = full.select("node", "lead", "n").join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    known = known.join(known.groupBy("comp").agg(F.count("*").alias("members")), "comp").withColumn("large", F.col("members") >= GROUP)
-    # A large component of one leader has groups of its own; the sets of small ones share groups.
-    cell = ["lead", F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of")]
-    counts = known.groupBy(*cell).agg(F.count("*").alias("n_cell"))
-    known = known.withColumn("of", cell[1]).join(counts, ["lead", "of"])
-    group = F.xxhash64("lead", "of", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_cell") / GROUP)))
-    known = common.stored(known.select("node", "n", "comp", "members", "large", group.alias("group")), "shingle-known")
-    open_ = lists.select("node", "token").join(known.select("node", "comp", "group", "large"), "node")
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    open_ = common.stored(open_.join(mixed, "token", "left_semi"), "shingle-open")
-    # The matrix: for each token, the groups it leads to, in lists of about 256. Of a group's sets with the token, it holds
-    # the components and the last node: a set need not ask a group that has its own component alone there, and of two sets
-    # in small components one asks.
-    cells = open_.groupBy("token", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("node").alias("last"), F.max("large").alias("large"))
+    known = small.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    known = known.join(known.groupBy("comp").agg(F.count("*").alias("members")), "comp")
+    cell = F.when(F.col("members") >= GROUP, F.xxhash64("comp")).otherwise(F.xxhash64("key", F.lit(1)))
+    known = known.join(keyed.filter("turn = 0").select("node", "key"), "node").withColumn("cell", cell)
+    chunks = known.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("many") / TOKENS)).alias("chunks"))
+    group = F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("group")
+    known = common.stored(known.join(chunks, "cell").select("node", "n", "many", "comp", "members", group), "shingle-known")
+    # Of what stands before a token in the prefix, nothing is shared with whom it is the first token in common.
+    lists = nodes.select("node", "many", F.posexplode("prefix").alias("at", "token"))
+    lists = lists.select("node", (F.col("many") - F.col("at")).alias("reach"), "token").join(known, "node")
+    mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    open_ = common.stored(lists.join(mixed, "token", "left_semi"), "shingle-open")
+    # The matrix: for each token the groups it leads to, in lists of about 256, with what bounds an overlap there. A query
+    # asks about larger components, so that of two sets one asks.
+    standing = F.struct("members", "comp")
+    cells = open_.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.max(standing).alias("top"))
     cells = cells.join(cells.groupBy("token").agg(F.ceil(F.count("*") / 256).alias("parts")), "token")
-    cells = cells.groupBy("token", F.pmod(F.col("group"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("group", "low", "high", "last", "large")).alias("groups"))
-    worth = lambda g: ((g["low"] != F.col("comp")) | (g["high"] != F.col("comp"))) & (g["large"] | (g["last"] > F.col("node")))
-    met = open_.select("token", "node", "comp").join(cells, "token").select("node", F.transform(F.filter("groups", worth), lambda g: g["group"]).alias("groups")).filter("size(groups) > 0")
+    cells = cells.groupBy("token", F.pmod(F.col("group"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("group", "least", "most", "reach", "top")).alias("groups"))
+    n, least = F.col("n"), lambda g: F.greatest(g["least"], F.ceil(F.col("n") * num / den))
+    worth = lambda g: (g["top"] > standing) & (g["least"] * num <= n * den) & (n * num <= g["most"] * den) & (F.least(F.col("reach"), g["reach"]) * both >= (n + least(g)) * num)
+    met = open_.join(cells, "token").select("node", F.transform(F.filter("groups", worth), lambda g: g["group"]).alias("groups")).filter("size(groups) > 0")
     met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("groups"))).alias("groups"))
-    met = met.select("node", F.explode("groups").alias("group")).join(known.drop("group"), "node")
-    shape = known.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("large").alias("g_large"), F.max("members").alias("g_members"), F.max("comp").alias("g_comp"))
-    met = met.join(shape, "group").filter(
-        (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den)
-        & F.when(F.col("g_large"), F.struct("members", "comp") < F.struct(F.col("g_members").alias("members"), F.col("g_comp").alias("comp"))).otherwise(~F.col("large"))
-    )
-    met = common.stored(met.select("node", "group"), "shingle-met")
+    met = common.stored(met.select("node", F.explode("groups").alias("group")), "shingle-met")
     if met.isEmpty():
         return found
-    asked = met.groupBy("group").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
-    sets_ = full.select("node", "tokens").join(known.select("node", "comp", "large", F.col("group").alias("own")), "node")
-    query = met.join(asked, "group").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).join(sets_.drop("own", "large"), "node")
-    query = query.select(F.xxhash64("group", "salt").alias("at"), F.col("node").alias("node"), F.col("comp").alias("comp"), F.col("tokens").alias("tokens"))
-    held = sets_.join(asked.withColumnRenamed("group", "own"), "own").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    held = held.select(F.xxhash64("own", "salt").alias("at"), F.col("node").alias("node"), F.col("comp").alias("comp"), F.col("large").alias("large"), F.col("tokens").alias("tokens"))
-    more = query.groupBy("at").cogroup(held.groupBy("at")).applyInArrow(_opener(num, den), "a long, b long")
+    bits = nodes.select("node", "bits").join(known, "node")
+    admitted = common.stored(_asked(met, bits, "bits", "many").applyInArrow(_admit(num, den), "node long, group long"), "shingle-admitted")
+    tokens = nodes.select("node", "tokens").join(known, "node")
+    more = _asked(admitted, tokens, "tokens", "many").applyInArrow(_opener(num, den), "a long, b long")
     return found.unionByName(common.stored(more, "shingle-links"))
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id occurs twice; its texts would then be joined to each other's nodes."""
-    return not docs.groupBy(F.col("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+def _asked(met: DataFrame, sets: DataFrame, column: str, size: str):
+    """Queries and the groups they ask, together; of a group that very many ask there are several copies."""
+    columns = ["node", "n", "many", "comp", "members", column]
+    sizes = met.join(sets.select("node", size), "node").groupBy("group").agg(F.ceil(F.sum(size) / (4 * TOKENS)).alias("salts"))
+    query = met.join(sizes, "group").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).join(sets.select(*columns), "node")
+    held = sizes.select(F.col("group").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("copy"))
+    held = sets.select("group", *columns).join(held, F.col("group") == F.col("own"))
+    query, held = (df.select(F.xxhash64("group", s).alias("at"), *(F.col(c).alias(c) for c in ("group", *columns))) for df, s in ((query, "salt"), (held, "copy")))
+    return query.groupBy("at").cogroup(held.groupBy("at"))
 
 
 def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """A row for each of docs (doc_id, text_hash, n, digest), and digest, label of every set that isn't empty."""
-    rows = common.columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
-    kinds = "doc_id long, text_hash long, row long, n long, digest binary, kept int, need int, low array<long>"
-    sets = common.stored(rows.mapInArrow(_describe(words, num, den), kinds), "shingles")
-    label = components(links(sets, docs, words, num, den))
-    first = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
-    return sets, first.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = describe(docs, words, num, den)
+    label = components(links(candidates(sets, docs, words, num, den), num, den))
+    first = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("least"), F.min("doc_id").alias("low"))
+    # A node is the least row of its digest.
+    return sets, first.join(label, first["least"] == label["node"], "left").select("digest", "low", F.coalesce("label", "least").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -316,7 +576,7 @@ def one_of_each(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100)
     first = names.groupBy("label").agg(first).select(F.col("one.doc_id").alias("_doc_id"), F.col("one.text_hash").alias("_text_hash"), F.col("one.copies").alias("_copies"))
     first = common.stored(first, "shingle-first")
     has_words = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
-    named = docs.filter(has_words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash")))
+    named = docs.filter(has_words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_text_hash")))
     kept = named.filter("_copies = 1").select(docs.columns)
     if not first.filter("_copies > 1").isEmpty():
         again = named.filter("_copies > 1").groupBy("_doc_id", "_text_hash").agg(F.min(F.struct(*docs.columns)).alias("_row"))
