@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast to the given types: other columns, whatever their names, play no part."""
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
+
+
+def text_bytes(batch) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+
+
+def slices(batches, most: int, size=text_bytes):
+    """The rows of Arrow batches, so many at a time that their sizes add up to about `most`: it bounds memory alone."""
+    for b in batches:
+        after, at = np.cumsum(size(b)), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end

@@ -218,20 +218,18 @@ def _ways(have: np.ndarray, capacity: int, width: int | None) -> Iterator[tuple[
 def _cutter(tokenizer: str, end_id: int, capacity: int):
     def cut(batches):
         encode, end = tokens.encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                rows = b.slice(i, 1000)
-                out: tuple = ([], [], [], [], [], [])
-                for d, c, x in zip(rows.column("doc_id").to_pylist(), rows.column("copy").to_pylist(), encode(rows.column("text").to_pylist()), strict=True):
-                    x += end
-                    n, at, piece = len(x) // 4, 0, 0
-                    size = n % capacity or capacity
-                    while at < n:
-                        for column, v in zip(out, (d, c, piece, at, size, zlib.crc32(memoryview(x)[4 * at : 4 * (at + size)])), strict=True):
-                            column.append(v)
-                        at, piece, size = at + size, piece + 1, capacity
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+        for rows in common.slices(batches, 6_000_000):
+            out: tuple = ([], [], [], [], [], [])
+            for d, c, x in zip(rows.column("doc_id").to_pylist(), rows.column("copy").to_pylist(), encode(rows.column("text").to_pylist()), strict=True):
+                x += end
+                n, at, piece = len(x) // 4, 0, 0
+                size = n % capacity or capacity
+                while at < n:
+                    for column, v in zip(out, (d, c, piece, at, size, zlib.crc32(memoryview(x)[4 * at : 4 * (at + size)])), strict=True):
+                        column.append(v)
+                    at, piece, size = at + size, piece + 1, capacity
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
     return cut
 

@@ -148,20 +148,6 @@ def _arrays(column) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
 
 
-def _slices(batches, most: int, size):
-    """The rows of batches, so many at a time that their sizes add up to about `most`."""
-    for b in batches:
-        after, at = np.cumsum(size(b)), 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, "right")))
-            yield b.slice(at, end - at)
-            at = end
-
-
-def _bytes(b) -> np.ndarray:
-    return pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
-
-
 # Runs of tokens.
 
 RUN = "part int, block long, doc_id array<long>, text_hash array<long>, row array<long>, n array<long>, sent array<long>, digest array<binary>, same array<int>, run binary"
@@ -239,7 +225,7 @@ def _describe(words: int, parts: int, top: int):
 
     def run(batches):
         block = _Block(parts, top, 16)
-        for rows in _slices(batches, _STEP, _bytes):
+        for rows in common.slices(batches, _STEP):
             sets = shingle_sets(rows.column("text").to_pylist(), words)
             names = zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text_hash", "row")), strict=True)
             for name, s in zip(names, sets, strict=True):
@@ -256,7 +242,7 @@ def _send(parts: int):
 
     def run(batches):
         block = _Block(parts, 1 << 64, 0)
-        for rows in _slices(batches, TOKENS, lambda b: b.column("n").to_numpy()):
+        for rows in common.slices(batches, TOKENS, lambda b: b.column("n").to_numpy()):
             for node, n, tokens in zip(rows.column("node").to_pylist(), rows.column("n").to_pylist(), _arrays(rows.column("tokens")), strict=True):
                 if block.add(None, None, node, n, node.to_bytes(8, "big", signed=True), tokens.copy()):
                     yield from block.close()
@@ -369,7 +355,7 @@ def _full(words: int):
     """The sets of texts that were chosen by their hashes, where the text is the one that was meant."""
 
     def run(batches):
-        for rows in _slices(batches, _STEP, _bytes):
+        for rows in common.slices(batches, _STEP):
             sets = shingle_sets(rows.column("text").to_pylist(), words)
             same = [j for j, (s, d) in enumerate(zip(sets, rows.column("digest").to_pylist(), strict=True)) if blake2b(s.tobytes(), digest_size=16).digest() == d]
             rows = rows.take(pa.array(same, pa.int64()))

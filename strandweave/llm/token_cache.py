@@ -40,10 +40,9 @@ def _distinct(batches):
 
 def _counter(tokenizer: str):
     def count(batches):
-        encode = tokens.encoder(tokenizer).encode
-        for b in _distinct(batches):
-            n = [len(ids) // 4 for ids in encode(b.column("text").to_pylist())]
-            yield pa.record_batch([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+        counts = tokens.encoder(tokenizer).counts
+        for b in common.slices(_distinct(batches), 6_000_000):
+            yield pa.record_batch([b.column("digest"), pa.array(counts(b.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     return count
 

@@ -109,18 +109,16 @@ def _writer(tokenizer: str, end_id: int, percentile: float):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "segment", "first", "doc_ids", "lengths", "payload"])
 
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                rows = b.slice(i, 500)
-                for d, x in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text").to_pylist()), strict=True):
-                    ids += [x, end]
-                    doc_ids.append(d)
-                    lengths.append(len(x) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= SEGMENT:
-                        yield close()
-                        first, segment = first + size, segment + 1
-                        ids, doc_ids, lengths, size = [], [], [], 0
+        for rows in common.slices(batches, 6_000_000):
+            for d, x in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text").to_pylist()), strict=True):
+                ids += [x, end]
+                doc_ids.append(d)
+                lengths.append(len(x) // 4 + 1)
+                size += lengths[-1]
+                if size >= SEGMENT:
+                    yield close()
+                    first, segment = first + size, segment + 1
+                    ids, doc_ids, lengths, size = [], [], [], 0
         if ids:
             yield close()
 

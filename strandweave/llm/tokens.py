@@ -1,8 +1,12 @@
-"""Token ids of whole texts, with each distinct space-delimited chunk encoded once per worker.
+"""Token ids of whole texts, with each distinct word encoded once per worker.
 
-A byte-level BPE file with the usual pre-tokenizer cuts a text at every single space or line end that stands
-between two characters that are not white space, whatever comes before or after. A text is therefore the concatenation of its
-chunks, and the ids of a chunk may be kept and used again. Files of other kinds are encoded text by text.
+A byte-level BPE file with the usual pre-tokenizer cuts a text at white space, whatever the words are: of blanks and line
+ends before a word, all but the last are a pre-token, the last one goes with the word if it is a blank and is a pre-token
+of its own if not, and what stands at the end of the text is one pre-token. One ASCII punctuation mark at the end of a
+word, after an ASCII letter or digit, is a pre-token too. So the words of many texts are cut out of their bytes by array
+operations and made a dictionary; only words that the worker has not met are encoded, and the ids of all are gathered.
+
+Texts with other white space or with special strings are given to the library whole, as are those for files of other kinds.
 """
 
 from __future__ import annotations
@@ -10,19 +14,26 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CLEAN = re.compile(r"(?<=\S) (?=\S)")
-_LONGEST_KEPT = 64
+_ODD = r"[^\S \n]|[\x1c-\x1f]"
+#: Bytes, and first two bytes, of white space besides blanks and line ends.
+_ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
+_ODD_PAIRS = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+_STEP = 6_000_000
+_TOGETHER = 256
 _ENCODERS: dict = {}
+_ALNUM = np.array([chr(c).isascii() and chr(c).isalnum() for c in range(256)])
+_MARK = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
 
 
 def cuts_at_single_spaces(config: dict) -> bool:
-    """Whether a tokenizers file is of the kind for which chunks are independent."""
+    """Whether a tokenizers file is of the kind for which words are independent."""
     pre = config.get("pre_tokenizer") or {}
     return (
         config.get("normalizer") is None
@@ -39,12 +50,10 @@ def cuts_at_single_spaces(config: dict) -> bool:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. `kept` bounds the chunks held in memory."""
+    """Ids of texts as little-endian unsigned 32-bit numbers. `kept` bounds the words held in memory between steps."""
 
     def __init__(self, path: str, kept: int = 800_000):
         self.path, self.kept = path, kept
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -59,86 +68,234 @@ class Encoder:
             tokenizer.no_padding()
             self.whole = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
             with open(path, encoding="utf-8") as f:
-                self.chunked = cuts_at_single_spaces(json.load(f))
+                config = json.load(f)
+            self.chunked = cuts_at_single_spaces(config)
+            special = [a["content"] for a in config.get("added_tokens", [])]
+            self.odd = re.compile("|".join([_ODD, *map(re.escape, special)]))
+            self.special = [s.encode() for s in special]
+            self.sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)  # bytes of each id: a character of its name stands for one
+            for name, i in tokenizer.get_vocab(with_added_tokens=False).items():
+                self.sizes[i] = len(name)
             newline = self.whole(["\n"])[0]
             self.newline = newline[0] if len(newline) == 1 else -1
-            self.tails = {c: np.array(self.whole([c])[0], "<u4").tobytes() for c in ".,\n"}
-
-    def _learn(self, kept: dict, chunks: set, prefix: str) -> None:
-        """Encode what `kept` lacks; a chunk that is empty or has white space at an end gets None: not a clean cut.
-
-        A full stop or comma after a letter is a pre-token of its own, so a word is encoded once with and without it.
-        """
-        new = [c for c in chunks if c not in kept]
-        tails = [c for c in new if c and c[-1] in ".," and c[:-1].isalpha()]
-        tailed = set(tails)
-        plain = {c for c in new if c not in tailed}
-        plain.update(c for c in (c[:-1] for c in tails) if c not in kept)
-        good = [c for c in plain if c and not c[0].isspace() and not c[-1].isspace()]
-        if len(good) < len(plain):
-            kept.update(dict.fromkeys(plain.difference(good)))
-        lines = [c for c in good if "\n" not in c]
-        if len(lines) < len(good):
-            rest = [c for c in good if "\n" in c]
-            kept.update((c, np.array(a, "<u4").tobytes()) for c, a in zip(rest, self.whole([prefix + c for c in rest]), strict=True))
-        for i in range(0, len(lines), 4096):
-            part = lines[i : i + 4096]
-            # "\n" beside a character that is not white space, or before a blank, is a pre-token of its own.
-            ids = np.array(self.whole(["x\n" + prefix + ("\n" + prefix).join(part)])[0], "<u4")
-            ends = [4 * i for i in np.flatnonzero(ids == self.newline).tolist()] + [4 * len(ids)]
-            if len(ends) == len(part) + 1:
-                b = ids.tobytes()
-                kept.update((c, b[i + 4 : j]) for c, i, j in zip(part, ends, ends[1:], strict=False))
-            else:
-                kept.update((c, np.array(a, "<u4").tobytes()) for c, a in zip(part, self.whole([prefix + c for c in part]), strict=True))
-        ends = self.tails
-        kept.update((c, kept[c[:-1]] + ends[c[-1]]) for c in tails)
+        self.forget()
+
+    def forget(self) -> None:
+        """A word's ids: without and with a blank before it, from `start`, so many as `count` says (-1: not known)."""
+        self.index: dict[bytes, int] = {}
+        self.size = 0
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.full(1 << 12, -1, np.int32)
+        self.ids, self.used = np.zeros(1 << 12, "<u4"), 0
+
+    # What is known.
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        index = self.index
+        at = list(map(index.get, words))
+        if None in at:
+            for i, w in enumerate(words):
+                if at[i] is None:
+                    at[i] = index.setdefault(w, len(index))
+                    self.size += len(w)
+        while 2 * len(index) > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
+            self.count = np.concatenate([self.count, np.full(len(self.count), -1, np.int32)])
+        return np.array(at, np.int64)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[keys] = self.used + np.cumsum(counts) - counts
+        self.count[keys] = counts
+        self.used += len(ids)
+
+    def _learn(self, keys: np.ndarray, words: list[str], prefix: str) -> None:
+        """Words are encoded together, with blanks or line ends between them; the bytes of the ids tell where each ends."""
+        between, sizes = (prefix or "\n").encode(), self.sizes
+        for i in range(0, len(words), _TOGETHER):
+            part, own = words[i : i + _TOGETHER], keys[i : i + _TOGETHER]
+            ids = np.array(self.whole([prefix + between.decode().join(part)])[0], "<u4")
+            upto = np.cumsum(sizes[ids])
+            want = np.cumsum([len(w.encode()) + 1 for w in part]) - (not prefix)
+            ends = np.searchsorted(upto, want)
+            if ends[-1] >= len(ids) or (upto[ends] != want).any():
+                self._learn_each(own, [prefix + w for w in part])
+                continue
+            ends += 1
+            counts = np.diff(ends, prepend=0)
+            if not prefix:  # each word but the first comes after a line end
+                if (ids[ends[:-1]] != self.newline).any():
+                    self._learn_each(own, part)
+                    continue
+                counts[1:] -= 1
+                ids = np.delete(ids, ends[:-1])
+            self._put(own, counts, ids)
+
+    def _learn_each(self, keys: np.ndarray, texts: list[str]) -> None:
+        found = self.whole(texts)
+        self._put(keys, np.array([len(f) for f in found]), np.array([i for f in found for i in f], "<u4"))
+
+    def _plain(self, texts: list[bytes]) -> np.ndarray:
+        """Keys of marks and white space."""
+        keys = 2 * self._places(texts)
+        new = [i for i, k in enumerate(keys.tolist()) if self.count[k] < 0]
+        if new:
+            self._learn_each(keys[new], [texts[i].decode() for i in new])
+        return keys
+
+    # Texts.
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (None: of the empty one)."""
-        if not self.chunked:
-            return [np.array(ids, "<u4").tobytes() for ids in self.whole([t or "" for t in texts])]
-        out = []
-        step, size = [], 0
-        for t in texts:  # bounded steps, so that the chunks of a step fit in memory
-            step.append(t or "")
-            size += len(step[-1])
-            if size > 4_000_000:
-                out += self._encode(step)
-                step, size = [], 0
-        return out + self._encode(step) if step else out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > self.kept:
-            self.first, self.later = {}, {}
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = list(chain.from_iterable(cut))
-        heads = {c[0] for c in lines}
-        self._learn(self.first, heads, "")
-        inner = set(chain.from_iterable(lines))
-        self._learn(self.later, inner, " ")
-        first, later, newline, out = self.first, self.later, self.tails["\n"], []
-        get = later.__getitem__
-        for t, c in zip(texts, cut, strict=True):
-            try:
-                out.append(newline.join([b"".join([first[line[0]], *map(get, line[1:])]) for line in c]))
-            except TypeError:  # a None: white space beside a blank or a line's end
-                out.append(self._slow(t))
-        for kept, seen in ((first, heads), (later, inner)):
-            for c in seen:
-                if len(c) > _LONGEST_KEPT:
-                    kept.pop(c, None)
+        out: list[bytes] = []
+        for ids, ends in self.steps(texts):
+            raw, at = ids.tobytes(), 0
+            for e in (4 * ends).tolist():
+                out.append(raw[at:e])
+                at = e
         return out
 
-    def _slow(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = _CLEAN.split(text)
-        ids, later = [np.array(self.whole([head])[0], "<u4").tobytes()], self.later
-        todo = [c for c in rest if later.get(c) is None]
-        got = dict(zip(todo, self.whole([" " + c for c in todo]), strict=True)) if todo else {}
-        ids += [np.array(got[c], "<u4").tobytes() if c in got else later[c] for c in rest]
-        return b"".join(ids)
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How many ids each text has."""
+        return np.concatenate([np.zeros(0, np.int64), *(np.diff(ends, prepend=0) for _, ends in self.steps(texts))])
+
+    def steps(self, texts: list[str | None]):
+        """All ids of some texts, and where each text's end; in bounded steps, for memory's sake."""
+        step: list[str] = []
+        size = 0
+        for t in texts:
+            t = t or ""
+            if len(t) > _STEP and self.chunked:
+                if step:
+                    yield self._step(step)
+                    step, size = [], 0
+                parts = [self._step([p])[0] for p in _pieces(t)]
+                yield np.concatenate(parts), np.array([sum(map(len, parts))])
+                continue
+            step.append(t)
+            size += len(t)
+            if size > _STEP:
+                yield self._step(step)
+                step, size = [], 0
+        if step:
+            yield self._step(step)
+
+    def _step(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.chunked:
+            return _joined([np.array(ids, "<u4") for ids in self.whole(texts)])
+        parts = [t.encode() for t in texts]
+        odd = self._odd(texts, parts)
+        if not odd:
+            return self._words(parts)
+        for i in odd:
+            parts[i] = b""
+        ids, ends = self._words(parts)
+        out = np.split(ids, ends[:-1])
+        for i, x in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = np.array(x, "<u4")
+        return _joined(out)
+
+    def _odd(self, texts: list[str], parts: list[bytes]) -> list[int]:
+        """Texts with special strings, or white space besides blanks and line ends: sought by their bytes first."""
+        raw = b"\n".join([*parts, b""])
+        data = np.frombuffer(raw, np.uint8)
+        found = [np.flatnonzero(_ODD_BYTE[data])]
+        for first, second in _ODD_PAIRS:
+            if bytes([first, second]) in raw:
+                at = np.flatnonzero(data == first)
+                found.append(at[data[at + 1] == second])
+        for special in self.special:
+            if special in raw:
+                found.append(np.array([m.start() for m in re.finditer(re.escape(special), raw)]))
+        found = np.concatenate(found)
+        if not len(found):
+            return []
+        stop = np.cumsum([len(p) + 1 for p in parts])
+        return [i for i in np.unique(np.searchsorted(stop, found, "right")).tolist() if self.odd.search(texts[i])]
+
+    def _words(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.index) > self.kept or self.size > 64 * self.kept:
+            self.forget()
+        data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+        stop = np.cumsum([len(p) + 1 for p in parts]) - 1
+        begin = np.concatenate([[0], stop[:-1] + 1])
+        inside = np.zeros(len(data) + 2, bool)
+        np.logical_and(data != 32, data != 10, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        n = len(start)
+        upto = np.searchsorted(start, stop)  # words until each text's end
+        own = np.diff(upto, prepend=0)
+        # White space before each word.
+        before = np.concatenate([[0], end[:-1]])[:n]
+        some = own > 0
+        before[(upto - own)[some]] = begin[some]
+        run = start - before
+        last = np.where(run > 0, data[start - 1], 0)
+        spaced, line, more = last == 32, last == 10, run > 1
+        mark = _MARK[data[end - 1]] & (end - start > 1)
+        mark &= _ALNUM[data[end - 2]]
+        close = end - mark
+        # Each distinct word once.
+        inside[close[mark] + 1] = False
+        offsets = np.zeros(n + 1, np.int32)
+        np.cumsum(close - start, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside[1:-1]])]).dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        places = self._places(distinct)
+        met = np.zeros(2 * len(distinct), bool)
+        met[2 * codes.astype(np.int64) + spaced] = True
+        met = np.flatnonzero(met)
+        met = met[self.count[2 * places[met >> 1] + (met & 1)] < 0]
+        for flag, prefix in ((0, ""), (1, " ")):
+            new = met[met & 1 == flag] >> 1
+            if len(new):
+                self._learn(2 * places[new] + flag, [distinct[i].decode() for i in new.tolist()], prefix)
+        # Marks and white space: what stands before a word's last blank, and at the end of a text.
+        rest = np.where(some, end[np.maximum(upto, 1) - 1] if n else 0, begin)
+        trailing = stop > rest
+        spans = [*zip(before[more].tolist(), (start[more] - 1).tolist(), strict=True), *zip(rest[trailing].tolist(), stop[trailing].tolist(), strict=True)]
+        raw = data.tobytes() if spans else b""
+        spans = [raw[a:b] for a, b in spans]
+        kinds = sorted(set(spans) | {b"\n"} | {bytes([c]) for c in np.unique(data[close[mark]]).tolist()})
+        plain = dict(zip(kinds, self._plain(kinds).tolist(), strict=True))
+        spans = np.array([plain[s] for s in spans], np.int64)
+        of_mark = np.zeros(256, np.int64)
+        for k, v in plain.items():
+            if len(k) == 1:
+                of_mark[k[0]] = v
+        # The keys in order.
+        each = 1 + line + mark + more
+        ends = np.cumsum(each)
+        at = ends - each + np.repeat(np.cumsum(trailing) - trailing, own)
+        ends = np.concatenate([[0], ends])[upto] + np.cumsum(trailing)
+        keys = np.empty(int(ends[-1]), np.int64)
+        keys[at[more]] = spans[: more.sum()]
+        at += more
+        keys[at[line]] = plain[b"\n"]
+        at += line
+        keys[at] = 2 * places[codes] + spaced if n else 0
+        keys[at[mark] + 1] = of_mark[data[close[mark]]]
+        keys[ends[trailing] - 1] = spans[more.sum() :]
+        many = self.count[keys]
+        upto = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        ids = self.ids[np.repeat(self.start[keys] - upto[:-1], many) + np.arange(upto[-1])]
+        return ids, upto[ends]
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*parts, np.zeros(0, "<u4")]), np.cumsum([len(p) for p in parts])
+
+
+def _pieces(text: str):
+    """A long text cut before single blanks between other characters, where pre-tokens end whatever stands around."""
+    at = 0
+    while at < len(text):
+        cut = _CLEAN.search(text, at + _STEP)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def encoder(path: str) -> Encoder:
