@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.compute as pc
@@ -29,26 +30,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/strandweave/{name}-{uuid.uuid4().hex}"
 
 
-_STORED: list[str] = []
+_RECORDS: list[list[str]] = []
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """`df` written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing.
+@contextmanager
+def recorded(paths: list[str]):
+    """Tables stored meanwhile are noted in `paths`, so that whoever asks for it can delete them, and no others."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.pop()
+
 
-    `forget` deletes the table, unless it is to be kept.
-    """
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
-    if not keep:
-        _STORED.append(path)
+    if _RECORDS and not keep:
+        _RECORDS[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete the tables stored so far: what was made of them must have been written by now."""
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables: what was made of them must have been written by now."""
     jvm = spark.sparkContext._jvm
-    while _STORED:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -65,6 +73,11 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Whole rows in one column `row`: what is put beside it can clash with no name of theirs."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def text_bytes(batch) -> np.ndarray:
     return pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
 

@@ -12,6 +12,7 @@ the common prefixes of the losers, and no byte that is known to be equal is comp
 common prefixes of neighbours with it. Within suffixes that share the anchor's string, those prefixes and the common
 endings of the bytes before tell which windows around an anchor recur.
 
+Texts are named by two 64-bit hashes, and each distinct text is sorted once: one that has copies recurs as a whole.
 Suffixes with the same bytes on both sides are one, first within a task, then within a range. An anchor's string that
 occurs more than `hot` times could still gather in one task with different bytes around it: its windows are counted one
 by one instead, by two 64-bit hashes of the whole window.
@@ -40,7 +41,7 @@ SEGMENT = 1 << 18
 CHUNK = 8192
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-SPAN = "id long, h long, first long, last long"
+SPAN = "h2 long, h long, first long, last long"
 
 
 # Anchors.
@@ -127,14 +128,14 @@ def _anchor_group(group: list, length: int, out: list[list]) -> None:
 
 def _finder(length: int):
     def find(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                rows = b.slice(i, 500)
-                found = anchors([t.encode() for t in rows.column("text").to_pylist()], length)
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in found])]).astype(np.int32))
-                grams = pa.array(np.concatenate([*(g for _, g in found), np.zeros(0, np.uint64)]).view(np.int64))
-                places = pa.array(np.concatenate([*(a for a, _ in found), np.zeros(0, np.int64)]).astype(np.int64))
-                yield pa.record_batch([rows.column("id"), rows.column("h"), pa.ListArray.from_arrays(ends, grams), pa.ListArray.from_arrays(ends, places)], ["id", "h", "grams", "places"])
+        for rows in common.slices(batches, 2_000_000):
+            data = [t.encode() for t in rows.column("text").to_pylist()]
+            found = anchors(data, length)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in found])]).astype(np.int32))
+            grams = pa.array(np.concatenate([*(g for _, g in found), np.zeros(0, np.uint64)]).view(np.int64))
+            places = pa.array(np.concatenate([*(a for a, _ in found), np.zeros(0, np.int64)]).astype(np.int64))
+            columns = [*(rows.column(c) for c in ("id", "h", "h2")), pa.array([len(d) for d in data], pa.int64()), pa.ListArray.from_arrays(ends, grams), pa.ListArray.from_arrays(ends, places)]
+            yield pa.record_batch(columns, ["id", "h", "h2", "size", "grams", "places"])
 
     return find
 
@@ -208,7 +209,11 @@ def _runner(length: int, ranges: int):
 
     def run(batches):
         found: dict[tuple[bytes, bytes], list] = {}
-        for i, h, text, places, grams in _rows(batches, "id", "h", "text", "places", "grams"):
+        seen: set[tuple[int, int]] = set()  # rows that repeat an id and its text come to the same task
+        for i, h, text, places, grams in _rows(batches, "h2", "h", "text", "places", "grams"):
+            if (i, h) in seen:
+                continue
+            seen.add((i, h))
             data = text.encode()
             for p, g in zip(places, grams, strict=True):
                 key = ((g & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + data[p : p + length], data[max(0, p - core) : p])
@@ -370,7 +375,7 @@ def _merger(length: int):
         own = [np.concatenate(items[i][3], axis=1) for i in good]
         n = [m.shape[1] for m in own]
         ids, h, place = np.concatenate(own, axis=1)
-        return pa.record_batch([pa.array(ids), pa.array(h), pa.array(place - np.repeat(most[good], n)), pa.array(place - np.repeat(least[good], n) + length)], ["id", "h", "first", "last"])
+        return pa.record_batch([pa.array(ids), pa.array(h), pa.array(place - np.repeat(most[good], n)), pa.array(place - np.repeat(least[good], n) + length)], ["h2", "h", "first", "last"])
 
     def run(batches):
         by: dict[int, list] = {}
@@ -411,7 +416,7 @@ def _windows(length: int):
     core = length // 2
 
     def run(batches):
-        for i, h, text, places in _rows(batches, "id", "h", "text", "hot"):
+        for i, h, text, places in _rows(batches, "h2", "h", "text", "hot"):
             data = text.encode()
             n = len(data) - length + 1
             starts = np.unique(np.concatenate([np.arange(max(0, p - (length - core)), min(p + 1, n)) for p in places]))
@@ -422,7 +427,7 @@ def _windows(length: int):
                     lo = int(at[0])
                     part = np.frombuffer(data[lo : int(at[-1]) + length], np.uint8)
                     a, c = (_hashes(part, length, base)[at - lo].view(np.int64) for base in (0, 1))
-                    yield pa.record_batch([pa.array(a), pa.array(c), pa.array(np.full(len(at), i)), pa.array(np.full(len(at), h)), pa.array(at)], ["a", "c", "id", "h", "first"])
+                    yield pa.record_batch([pa.array(a), pa.array(c), pa.array(np.full(len(at), i)), pa.array(np.full(len(at), h)), pa.array(at)], ["a", "c", "h2", "h", "first"])
 
     return run
 
@@ -430,29 +435,37 @@ def _windows(length: int):
 # The operator.
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A row is named by its id and a hash of its text: rows that agree in both have the same spans."""
+def _hashes_of(text) -> tuple:
+    """Two independent hashes of a text, null being the empty one."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("h2")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
+    """h, h2, spans of the texts in which something recurs: byte ranges, which may overlap. A stored table."""
+    spark = docs.sparkSession
     rows = common.columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
-
-
-def repeated_spans(keyed: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
-    """id, h, spans of the keyed rows in which something recurs: its byte ranges, which may overlap."""
-    spark = keyed.sparkSession
-    found = common.stored(keyed.select("id", "h", "text").mapInArrow(_finder(length), "id long, h long, grams array<long>, places array<long>").filter("size(grams) > 0"), "anchors")
-    each = found.select("id", "h", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("id", "h", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
-    twice = each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = each.join(twice, "gram").groupBy("id", "h").agg(F.collect_list(F.when(F.col("n") <= hot, F.struct("place", "gram"))).alias("x"), F.collect_list(F.when(F.col("n") > hot, F.col("place"))).alias("hot"))
-    kept = common.stored(kept.select("id", "h", F.transform("x", lambda x: x["place"]).alias("places"), F.transform("x", lambda x: x["gram"]).alias("grams"), "hot"), "repeated-anchors")
-    texts = keyed.join(kept.hint("shuffle_hash"), ["id", "h"])
+    rows = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), *_hashes_of(F.col("text")), "text")
+    found = rows.mapInArrow(_finder(length), "id long, h long, h2 long, size long, grams array<long>, places array<long>").filter("size(grams) > 0")
+    # One row of each text, and how often it is there.
+    one = F.min_by(F.struct("size", "grams", "places"), "id").alias("one")
+    texts = found.groupBy("h", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), one).select("id", "h", "h2", "copies", "one.*")
+    texts = common.stored(texts, "anchors")
+    each = texts.select("id", "h", "h2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("id", "h", "h2", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
+    twice = common.stored(each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-grams")
+    kept = each.join(twice, "gram").groupBy("id", "h", "h2").agg(F.collect_list(F.when(F.col("n") <= hot, F.struct("place", "gram"))).alias("x"), F.collect_list(F.when(F.col("n") > hot, F.col("place"))).alias("hot"))
+    kept = common.stored(kept.select("id", "h", "h2", F.transform("x", lambda x: x["place"]).alias("places"), F.transform("x", lambda x: x["gram"]).alias("grams"), "hot"), "repeated-anchors")
+    wanted = rows.join(kept.hint("shuffle_hash"), ["id", "h", "h2"])
     ranges = common.partitions(spark)
-    runs = texts.mapInArrow(_runner(length, ranges), "part int, run binary")
+    runs = wanted.mapInArrow(_runner(length, ranges), "part int, run binary")
     spans = runs.repartition(ranges, "part").mapInArrow(_merger(length), SPAN)
     if not kept.filter("size(hot) > 0").isEmpty():
-        few = texts.filter("size(hot) > 0").mapInArrow(_windows(length), "a long, c long, id long, h long, first long")
+        few = wanted.filter("size(hot) > 0").dropDuplicates(["id", "h", "h2"]).mapInArrow(_windows(length), "a long, c long, h2 long, h long, first long")
         more = few.join(few.groupBy("a", "c").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "c"])
-        spans = spans.unionByName(more.select("id", "h", "first", (F.col("first") + length).alias("last")))
-    return spans.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        spans = spans.unionByName(more.select("h2", "h", "first", (F.col("first") + length).alias("last")))
+    whole = texts.filter("copies > 1").select("h2", "h", F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))
+    spans = spans.unionByName(whole).groupBy("h", "h2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return common.stored(spans, "repeated-spans")
 
 
 def _joined(spans) -> list[tuple[int, int]]:
@@ -470,24 +483,28 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
 
 
+def _left(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """The remaining text; a character cut in two goes as a whole."""
+    return _kept(data, spans).decode("utf-8", "ignore")
+
+
 def _report(batches):
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            rows = b.slice(i, 1000)
-            out: tuple = ([], [], [], [])
-            for text, spans in zip(rows.column("text").to_pylist(), rows.column("spans").to_pylist(), strict=True):
-                data, spans = text.encode(), _joined(spans)
-                for column, v in zip(out, (len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()), strict=True):
-                    column.append(v)
-            columns = [rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))]
-            yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for rows in common.slices(batches, 4_000_000):
+        out: tuple = ([], [], [], [], [])
+        for text, spans in zip(rows.column("text").to_pylist(), rows.column("spans").to_pylist(), strict=True):
+            data, spans = (text or "").encode(), _joined(spans)
+            kept = hashlib.sha256(_kept(data, spans)).hexdigest()
+            for column, v in zip(out, (len(data), sum(e - s for s, e in spans), len(spans), kept, _left(data, spans) if spans else text), strict=True):
+                column.append(v)
+        columns = [rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
+        yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def dedup(docs: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed, length, hot)
-    return keyed.join(spans.hint("shuffle_hash"), ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining text of every row."""
+    rows = common.columns(docs, doc_id="long", text="string")
+    rows = rows.select("doc_id", "text", *_hashes_of(F.col("text"))).join(repeated_spans(docs, length, hot), ["h", "h2"], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def strip_repeats(docs: DataFrame, length: int = 400, hot: int = 1 << 16) -> DataFrame:
@@ -500,12 +517,13 @@ def strip_repeats(docs: DataFrame, length: int = 400, hot: int = 1 << 16) -> Dat
     def strip(text, spans):
         import pandas as pd
 
-        return pd.Series([t if t is None or s is None else _kept(t.encode(), _joined(s)).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
+        return pd.Series([_left(t.encode(), _joined(s)) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    spans = repeated_spans(_keyed(docs), length, hot).withColumnsRenamed({"id": "_id", "h": "_h", "spans": "_spans"})
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.join(spans.hint("shuffle_hash"), ["_id", "_h"], "left")
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(strip("text", "_spans"))).filter("_spans IS NULL OR text <> ''")
+    # The whole row in one column, so that no name can clash.
+    rows = common.packed(docs).select("row", *_hashes_of(F.col("row.text"))).join(repeated_spans(docs, length, hot), ["h", "h2"], "left")
+    cut = rows.filter("spans IS NOT NULL").withColumn("left", strip("row.text", "spans")).filter("left <> ''")
+    row = F.col("row").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        row = row.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    same = rows.filter("spans IS NULL").select("row")
+    return same.unionByName(cut.select(row.alias("row"))).select("row.*")
