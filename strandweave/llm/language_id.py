@@ -29,7 +29,13 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category is in it; numerals that count as parts of words are no letters."""
+    m = _WORD.search(text)
+    return m is not None and (m[0].isalpha() or any(x[0].isalpha() for x in _WORD.finditer(text, m.end())))
 
 
 @dataclass
@@ -124,7 +130,7 @@ def fit(docs: DataFrame, sample: int = 1500, windows: int = 3, **how) -> Network
     place = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1 for i in range(windows)]
     parts = rows.filter(keep).select("doc_id", "lang", F.posexplode(F.array(*(F.substring(F.col("text"), at, F.lit(WINDOW)) for at in place))).alias("i", "part"))
     got = sorted((r.doc_id, r.i, r.lang, r.part) for r in parts.collect())
-    got = [g for g in got if _LETTER.search(g[3])]
+    got = [g for g in got if has_letter(g[3])]
     return train([g[3] for g in got], [g[2] for g in got], **how) if got else None
 
 
@@ -139,7 +145,7 @@ def _predictor(net: Network | None):
                 rows = b.slice(i, 512)
                 texts = rows.column("text").to_pylist()
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
-                for group in _groups([j for j, t in enumerate(texts) if t and net and _LETTER.search(t)], texts):
+                for group in _groups([j for j, t in enumerate(texts) if t and net and has_letter(t)], texts):
                     data = [texts[j].encode() for j in group]
                     parts = [cut(d) for d in data]
                     all_ = np.concatenate(parts)
@@ -178,8 +184,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def filter_known(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFrame:
     """The documents with a language, by a score of `least` or more; whole rows as they were."""
-    kept = docs.withColumn("_kept", _score_udf(net)(F.col("text").cast("string")))
-    return kept.filter(F.col("_kept") >= least).select(*docs.columns)
+    kept = common.packed(docs).withColumn("score", _score_udf(net)(F.col("row.text").cast("string")))
+    return kept.filter(F.col("score") >= least).select("row.*")
 
 
 def _score_udf(net: Network | None):

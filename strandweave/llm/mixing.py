@@ -136,17 +136,20 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     part, and from its start: to the end of the last word taken, with the white space before and between its words.
     """
     # A row is named by its id and a hash of its text and source; rows that agree in all share evenly what they are given.
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text", F.col("source").cast("string"), F.col("source").isNull()))
-    mixed = mix(keyed, carry=("_h",), **how).groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2"))
+    text, source = F.col("row.text").cast("string").alias("text"), F.col("row.source").cast("string").alias("source")
+    keyed = common.packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text, source)
+    keyed = keyed.withColumn("h", F.xxhash64("text", "source", F.col("source").isNull()))
+    mixed = mix(keyed.drop("row"), carry=("h",), **how).groupBy(F.col("doc_id").alias("id2"), F.col("h").alias("h2"))
     mixed = mixed.agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"), F.first("size").alias("size")).filter("taken > 0")
     rest, full = F.col("taken") % F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int")
     copies = F.array_repeat(F.lit(-1).cast("long"), full)
-    mixed = mixed.select("_id", "_h2", F.when(rest > 0, F.array_append(copies, rest)).otherwise(copies).alias("_copies")).withColumnRenamed("_id", "_id2")
-    rows = keyed.join(mixed.hint("shuffle_hash"), (F.col("_h") == F.col("_h2")) & F.col("_id").eqNullSafe(F.col("_id2")))
+    mixed = mixed.select("id2", "h2", F.when(rest > 0, F.array_append(copies, rest)).otherwise(copies).alias("copies"))
+    rows = keyed.join(mixed.hint("shuffle_hash"), (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("id2")))
     word = common.WORD.replace("\\", "\\\\")
     space = word.replace("[^", "[").rstrip("+") + "*"
-    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '{space}{word}', 0), 1, cast(_words AS int)), '')")
-    rows = rows.withColumn("_words", F.explode("_copies")).withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(cut))
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '{space}{word}', 0), 1, cast(words AS int)), '')")
+    rows = rows.select("row", "text", F.explode("copies").alias("words"))
+    row = F.col("row").withField("text", cut)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*(rows[c] for c in docs.columns))
+        row = row.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return rows.select(F.when(F.col("words") < 0, F.col("row")).otherwise(row).alias("row")).select("row.*")

@@ -559,3 +559,76 @@ def test_pipeline_null_and_repeated_ids(spark):
         assert len(found) == 1
         want[found[0]] += 1
     assert out == want
+
+
+# Cases that once went wrong
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["ab", "c", "def\n", "\t g"]) + str(rng.randrange(60)) for _ in range(2000))
+    want = [shingle_join.shingle_sets([t, "a", None, text[:40]], 4) for t in (text, "x" * 500)]
+    monkeypatch.setattr(shingle_join, "_STEP", 90)
+    for t, sets in zip((text, "x" * 500), want, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(shingle_join.shingle_sets([t, "a", None, text[:40]], 4), sets, strict=True))
+    t = Tokenizer.from_file(BPE)
+    monkeypatch.setattr(tokens, "_STEP", 200)
+    texts = [text, "\n\n".join([text, text]), " " * 900, "é" * 900, text + " \n\n "]
+    assert tokens.Encoder(BPE).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_repeated_rows_cost_no_more_than_their_number(spark):
+    """Equal rows, with and without ids, are named once; what is left of a text that has copies is nothing."""
+    text = "".join(chr(97 + i * i % 26) for i in range(300))
+    rows = [(1, text, None, None)] * 30 + [(None, text, None, None)] * 3 + [(2, text[:90] + "q" * 20, None, None), (3, "alone", None, None)]
+    got = sorted(((r.doc_id or 0, r.n_removed, r.text) for r in suffix_dedup.dedup(make(spark, rows), 80).collect()))
+    assert got == [(0, 300, "")] * 3 + [(1, 300, "")] * 30 + [(2, 90, "q" * 20), (3, 0, "alone")]
+
+
+def test_columns_of_any_name_go_through_the_stages(spark):
+    """Columns with the names of the operators' own keep their values; null texts, repeated and null ids are kept apart."""
+    names = ["_h", "_id", "_kept", "h", "h2", "row", "id2", "words", "copies", "score", "spans", "left", "label", "node"]
+    rows = [(i, f"the cat number {i} sat on the mat and saw {i * 7} birds", "en", "a", 5, *[f"{n}{i}" for n in names]) for i in (1, 2, 3, 3)]
+    rows += [(None, "another text that has no number at all but some words", "en", None, 5, *names), (9, None, "en", "a", 0, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    own = {tuple(r)[5:] for r in rows}
+    for got in (suffix_dedup.strip_repeats(docs, 400), shingle_join.one_of_each(docs, 5, 80, 100), mixing.apply_mix(docs), language_id.filter_known(docs, language_id.fit(docs), 0.0)):
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and {tuple(r)[5:] for r in found} <= own
+        assert got.limit(0).columns == docs.columns
+    empty = docs.limit(0)
+    for got in (suffix_dedup.strip_repeats(empty, 400), shingle_join.one_of_each(empty, 5, 80, 100), mixing.apply_mix(empty), language_id.filter_known(empty, None)):
+        assert got.count() == 0
+
+
+def test_letters():
+    assert not any(language_id.has_letter(t) for t in ("", "12", "²", "½ ①", "Ⅷ", "_-", "٣"))
+    assert all(language_id.has_letter(t) for t in ("a", "² é", "中", "½b"))
+
+
+def test_neighbours_of_doubles_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    x[10] = x[0]
+    ids = [0, 0, *range(2, 60)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.neighbours(df, 5, 20, trees=4, leaf=16, recall=1.0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for q in (20, 40):
+        s = x @ x[q]
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-(x[q] * x[i]).sum(), ids[i]))[:5]
+        assert [(ids[i], float((x[q] * x[i]).sum())) for i in order] == [(v, s) for _, v, s in sorted(got[q])]
+    assert len(got[0]) == 10  # two rows of that id, each a query
+    assert sorted(v for _, v, _ in got[0]).count(10) == 1 + int(0 in sorted(range(60), key=lambda i: -(x[1] * x[i]).sum())[:6])
+
+
+def test_tables_of_others_are_not_deleted(spark):
+    import corpus_pipeline
+
+    docs = make(spark, [(i, f"some words {i} that make up a text of {i} and more", "en", "a") for i in range(12)])
+    unread = shingle_join.jaccard_components(docs)
+    corpus_pipeline.STAGES[1][1](spark, docs, "").count()
+    corpus_pipeline.STAGES[1][1](spark, docs, "").count()
+    assert unread.count() == 12
