@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +92,12 @@ def slices(batches, most: int, size=text_bytes):
             end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker is used again by later stages, which may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)

@@ -218,7 +218,7 @@ def _ways(have: np.ndarray, capacity: int, width: int | None) -> Iterator[tuple[
 def _cutter(tokenizer: str, end_id: int, capacity: int):
     def cut(batches):
         encode, end = tokens.encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-        for rows in common.slices(batches, 6_000_000):
+        for rows in common.slices(batches, 2_500_000):
             out: tuple = ([], [], [], [], [], [])
             for d, c, x in zip(rows.column("doc_id").to_pylist(), rows.column("copy").to_pylist(), encode(rows.column("text").to_pylist()), strict=True):
                 x += end

@@ -41,7 +41,7 @@ def _distinct(batches):
 def _counter(tokenizer: str):
     def count(batches):
         counts = tokens.encoder(tokenizer).counts
-        for b in common.slices(_distinct(batches), 6_000_000):
+        for b in common.slices(_distinct(batches), 2_500_000):
             yield pa.record_batch([b.column("digest"), pa.array(counts(b.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     return count

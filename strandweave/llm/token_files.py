@@ -109,7 +109,7 @@ def _writer(tokenizer: str, end_id: int, percentile: float):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "segment", "first", "doc_ids", "lengths", "payload"])
 
-        for rows in common.slices(batches, 6_000_000):
+        for rows in common.slices(batches, 2_500_000):
             for d, x in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text").to_pylist()), strict=True):
                 ids += [x, end]
                 doc_ids.append(d)

@@ -17,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,7 +26,7 @@ _ODD = r"[^\S \n]|[\x1c-\x1f]"
 #: Bytes, and first two bytes, of white space besides blanks and line ends.
 _ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _ODD_PAIRS = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
-_STEP = 6_000_000
+_STEP = 2_500_000
 _TOGETHER = 256
 _ENCODERS: dict = {}
 _ALNUM = np.array([chr(c).isascii() and chr(c).isalnum() for c in range(256)])
@@ -52,7 +53,7 @@ def cuts_at_single_spaces(config: dict) -> bool:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers. `kept` bounds the words held in memory between steps."""
 
-    def __init__(self, path: str, kept: int = 800_000):
+    def __init__(self, path: str, kept: int = 250_000):
         self.path, self.kept = path, kept
         if path.endswith(".model"):
             import sentencepiece
@@ -215,7 +216,7 @@ class Encoder:
         return [i for i in np.unique(np.searchsorted(stop, found, "right")).tolist() if self.odd.search(texts[i])]
 
     def _words(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.kept or self.size > 64 * self.kept:
+        if len(self.index) > self.kept or self.size > 100 * self.kept:
             self.forget()
         data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
         stop = np.cumsum([len(p) + 1 for p in parts]) - 1
@@ -241,7 +242,8 @@ class Encoder:
         inside[close[mark] + 1] = False
         offsets = np.zeros(n + 1, np.int32)
         np.cumsum(close - start, out=offsets[1:])
-        words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside[1:-1]])]).dictionary_encode()
+        words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside[1:-1]])])
+        words = pc.dictionary_encode(words, memory_pool=pa.system_memory_pool())
         distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
         places = self._places(distinct)
         met = np.zeros(2 * len(distinct), bool)
