@@ -95,6 +95,16 @@ def slices(batches, most: int, size=text_bytes):
     give_back()
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What tasks of one operator keep for the next ones in this Python worker; what other operators kept goes."""
+    for other in [k for k in _CACHES if k != owner]:
+        del _CACHES[other]
+    return _CACHES.setdefault(owner, {})
+
+
 def give_back() -> None:
     """Return freed memory to the machine: a Python worker is used again by later stages, which may need it elsewhere."""
     pa.default_memory_pool().release_unused()

@@ -140,6 +140,7 @@ def held_out(doc_id: str):
 
 def _predictor(net: Network | None):
     def predict(batches):
+        common.cache("language")
         for rows in common.slices(batches, 1_000_000):
             texts = rows.column("text").to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -45,7 +45,6 @@ KEYS = 3
 _STEP = 1_000_000
 _TABLE = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
 
 
 # Sets.
@@ -59,10 +58,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
+    kept = common.cache("shingles")
+    if len(kept.get("powers", [()])[0]) < n:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, _STEP), b, np.uint64)])) for b in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+        kept["powers"] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, _STEP), b, np.uint64)])) for b in (_BASE, inverse)]
+    return kept["powers"]
 
 
 def shingle_sets(texts: list[str | None], words: int = 4) -> list[np.ndarray]:

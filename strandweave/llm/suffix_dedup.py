@@ -40,7 +40,6 @@ RUN = 20_000
 SEGMENT = 1 << 18
 CHUNK = 8192
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SPAN = "h2 long, h long, first long, last long"
 
 
@@ -56,11 +55,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _hashes(data: np.ndarray, size: int, base: int = 0) -> np.ndarray:
     """A hash of each string of `size` bytes in `data`, by its start."""
     n = len(data)
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
+    powers = common.cache("suffixes")
+    if base not in powers or len(powers[base][0]) < n:
         b = _BASES[base]
         both = (b, pow(b, -1, 1 << 64))
-        _POWERS[base] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SEGMENT + 4096), x, np.uint64)])) for x in both)
-    power, inverse = _POWERS[base]
+        powers[base] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SEGMENT + 4096), x, np.uint64)])) for x in both)
+    power, inverse = powers[base]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     return _mix((total[size:] - total[: n + 1 - size]) * inverse[: n + 1 - size])
@@ -222,6 +222,7 @@ def _runner(length: int, ranges: int):
                 yield from _blobs(close(found))
                 found = {}
         yield from _blobs(close(found))
+        common.give_back()
 
     return run
 
@@ -378,6 +379,7 @@ def _merger(length: int):
         return pa.record_batch([pa.array(ids), pa.array(h), pa.array(place - np.repeat(most[good], n)), pa.array(place - np.repeat(least[good], n) + length)], ["h2", "h", "first", "last"])
 
     def run(batches):
+        common.cache("suffixes")
         by: dict[int, list] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("run").to_pylist(), strict=True):
@@ -405,6 +407,8 @@ def _merger(length: int):
                 items.append((key, p, left, [own]))
             if items and (out := resolve(items, [])) is not None:
                 yield out
+            del runs, items, sames
+            common.give_back()
 
     return run
 

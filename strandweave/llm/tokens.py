@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CLEAN = re.compile(r"(?<=\S) (?=\S)")
@@ -28,7 +30,6 @@ _ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _ODD_PAIRS = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 _STEP = 2_500_000
 _TOGETHER = 256
-_ENCODERS: dict = {}
 _ALNUM = np.array([chr(c).isascii() and chr(c).isalnum() for c in range(256)])
 _MARK = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
 
@@ -302,6 +303,7 @@ def _pieces(text: str):
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file, made once per process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    kept = common.cache("tokens")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
