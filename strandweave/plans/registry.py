@@ -112,8 +112,8 @@ _MATCHES = "m AS (SELECT a.read_id AS q, b.read_id AS r, a.pos AS q_pos, b.pos A
 
 def _kept(spark, d):
     own = inputs.reads(spark, d).select("read_id", "seq")
-    words = kmers.reference_words(own)
-    return kmers.without_repeats(kmers.seeds(own), kmers.frequencies(words)), words
+    query, words = kmers.shared_words(kmers.seeds(own), kmers.reference_words(own))
+    return kmers.without_repeats(query, kmers.frequencies(words)), words
 
 
 @query(sql(f", {_SEEDS} SELECT read_id, pos, word FROM seeds", "reads").replace(" , ", ", ", 1))
@@ -240,7 +240,7 @@ def g10_without_nodes(spark, d):
     return graph.without_nodes(inputs.edges(spark, d), inputs.nodes(spark, d).filter("n_den = 1")).select("src", "dst", "weight")
 
 
-@query(sql("SELECT src, dst, e.weight FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges c WHERE c.src = e.src AND c.dst = e.dst AND c.s_contained)", "edges"))
+@query(sql(", gone AS MATERIALIZED (SELECT DISTINCT src AS s, dst AS d FROM edges WHERE s_contained) SELECT src, dst, weight FROM edges LEFT JOIN gone ON src = s AND dst = d WHERE s IS NULL", "edges").replace(" , ", ", ", 1))
 def g10_without_edges(spark, d):
     e = inputs.edges(spark, d)
     return graph.without_edges(e, e.filter("s_contained")).select("src", "dst", "weight")

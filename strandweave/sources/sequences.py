@@ -17,37 +17,46 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_quality(spark: SparkSession, path: str) -> DataFrame:
-    """label, qual of a quality file of two-line records; ">" may be a score, so lines are told apart by their number."""
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("at"))
-    pairs = _numbered(lines.filter("value <> ''"))
-    pairs = pairs.groupBy(F.floor(F.col("n") / 2).alias("record"))
-    return pairs.agg(F.max(F.when(F.col("n") % 2 == 0, F.substring("value", 2, 1 << 20))).alias("label"), F.max(F.when(F.col("n") % 2 == 1, F.col("value"))).alias("qual")).select(F.trim("label").alias("label"), F.rtrim("qual").alias("qual"))
+    """label, qual, file, record of a quality file of two-line records; ">" may be a score, so lines are told apart by their
+    number. A read without bases has an empty line of scores; blank lines at a file's end are no records."""
+    lines = _numbered(_lines(spark, path)).groupBy("file", F.floor(F.col("n") / 2).alias("record"))
+    pairs = lines.agg(F.max(F.when(F.col("n") % 2 == 0, F.col("value"))).alias("head"), F.max(F.when(F.col("n") % 2 == 1, F.col("value"))).alias("qual"))
+    pairs = pairs.filter("trim(head) <> ''")
+    return pairs.select(F.trim(F.expr("substring(head, 2)")).alias("label"), F.rtrim(F.coalesce("qual", F.lit(""))).alias("qual"), "file", "record")
 
 
 def with_quality(reads: DataFrame, quality: DataFrame) -> DataFrame:
-    """Reads with their scores, by label; a read whose scores are missing or of another length is an error."""
-    joined = reads.join(quality, "label", "left")
-    fine = F.length("seq") == F.length("qual")
-    return joined.withColumn("qual", F.when(fine, F.col("qual")).otherwise(F.raise_error(F.concat(F.lit("no scores of the right length for "), F.col("label")))))
+    """Reads with their scores, by label; a read whose scores are missing, of another length, or there twice is an error."""
+    once = quality.groupBy("label").agg(F.max("qual").alias("qual"), F.count("*").alias("given"))
+    joined = reads.join(once, "label", "left")
+    fine = (F.length("seq") == F.length("qual")) & (F.col("given") == 1)
+    said = F.raise_error(F.concat(F.lit("no scores of the right length, or several, for "), F.col("label")))
+    return joined.withColumn("qual", F.when(fine, F.col("qual")).otherwise(said)).drop("given")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """label, seq, qual of four-line records."""
-    lines = _numbered(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")))
+    """label, seq, qual, file, record of four-line records; blank lines at a file's end are no records."""
+    lines = _numbered(_lines(spark, path))
     part = lambda i, c: F.max(F.when(F.col("n") % 4 == i, c))
-    out = lines.groupBy(F.floor(F.col("n") / 4).alias("record")).agg(part(0, F.substring("value", 2, 1 << 20)).alias("label"), part(1, F.col("value")).alias("seq"), part(3, F.col("value")).alias("qual"))
-    return out.filter("seq IS NOT NULL").select(F.trim("label").alias("label"), F.rtrim("seq").alias("seq"), F.rtrim("qual").alias("qual"), "record")
+    out = lines.groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(part(0, F.col("value")).alias("head"), part(1, F.col("value")).alias("seq"), part(3, F.col("value")).alias("qual"))
+    out = out.filter("trim(head) <> '' AND seq IS NOT NULL")
+    return out.select(F.trim(F.expr("substring(head, 2)")).alias("label"), F.rtrim("seq").alias("seq"), F.rtrim(F.coalesce("qual", F.lit(""))).alias("qual"), "file", "record")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines with their number from 0: counted within partitions first, so that no task holds them all."""
+    """Lines with their number in their file, from 0: a partition's lines are counted first, so that no task holds a file.
+
+    Parts of a file are in the partitions in their order, and a part's lines follow each other.
+    """
     lines = lines.withColumn("_p", F.shiftright("at", 33)).withColumn("_i", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = lines.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    lines = lines.join(F.broadcast(before), "_p") if counts.count() < 100_000 else lines.join(before, "_p")
-    # Blank lines were left out after numbering, so that numbers may skip; rank them within their partition.
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1
-    return lines.withColumn("n", F.col("_before") + rank).drop("_p", "_i", "_before", "at")
+    counts = lines.groupBy("file", "_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_p")) - F.col("_n")
+    counts = counts.select("file", "_p", (before - F.col("_first")).alias("_shift"))
+    return lines.join(counts, ["file", "_p"]).withColumn("n", F.col("_i") + F.col("_shift")).drop("_p", "_i", "_shift", "at")
 
 
 def fasta_lines(label: Column, seq: Column) -> Column:

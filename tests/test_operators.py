@@ -40,6 +40,36 @@ def test_fasta(spark, tmp_path):
         wrong.collect()
 
 
+def test_quality_lines_are_told_apart_by_number(spark, tmp_path):
+    """A read without bases has an empty line of scores; blank lines at a file's end shift nothing in the next file."""
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a").write_text(">one\n\n>two\nIIII\n>three\n>\n\n\n\n")
+    (tmp_path / "q" / "b").write_text(">four\n;\n\n")
+    got = {r.label: r.qual for r in sequences.read_quality(spark, f"file://{tmp_path}/q").collect()}
+    assert got == {"one": "", "two": "IIII", "three": ">", "four": ";"}
+    twice = sequences.with_quality(frame(spark, [("a", "AC")], "label string, seq string"), frame(spark, [("a", "II"), ("a", "JJ")], "label string, qual string"))
+    with pytest.raises(Exception, match="several"):
+        twice.collect()
+
+
+def test_words_by_arrays(spark):
+    """Words, simple words and words of bad bases, one by one."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choices("ACGTNacgt", [9, 9, 9, 9, 1, 1, 1, 1, 1], k=n)), "".join(chr(33 + rng.randrange(41)) for _ in range(n))) for i, n in enumerate([0, 3, 9, 10, 11, 40, 75])]
+    rows += [(90, "ACG" * 12, "I" * 36), (91, "A" * 30, "!" * 30), (92, "", None)]
+    df = frame(spark, rows, "read_id long, seq string, qual string")
+    number = lambda w: int("".join("0123"["ACGT".find(c) if c in "ACGT" else 0] for c in w.upper()), 4)
+    plain = lambda w: "".join(c if c in "ACGT" else "A" for c in w.upper())
+    for k, step in ((10, 3), (8, 1)):
+        words = [(i, p, s[p : p + k], (q or "")[p : p + k]) for i, s, q in rows for p in range(max(0, len(s) - k + 1))]
+        assert sorted(map(tuple, kmers.reference_words(df, k).collect())) == sorted((i, p, number(w)) for i, p, w, _ in words)
+        last = {i: len(s) - k for i, s, _ in rows}
+        chosen = [x for x in words if x[1] % step == 0 and x[1] < last[x[0]]]
+        simple = lambda w: max(plain(w).count(t) if t[0] != t[1] else sum(plain(w)[j : j + 3] == t for j in range(k - 2)) for t in {plain(w)[j : j + 3] for j in range(k - 2)}) >= 3  # noqa: E731, B023
+        want = sorted((i, p, number(w)) for i, p, w, q in chosen if not simple(w) and sum(ord(c) - 33 for c in q) >= 18 * k)
+        assert sorted(map(tuple, kmers.seeds(df, k, step, complexity=3, least_quality=18).collect())) == want
+
+
 def test_bundled_reads(spark):
     """The one public input: 680 reads of 150 bases, none of which the default trim shortens."""
     raw = sequences.read_fasta(spark, f"file://{TEST_READS}.fasta")
