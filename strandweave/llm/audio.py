@@ -5,11 +5,12 @@ the resulting picture, through its integral image, at every frame; each gives tw
 32-bit integer. Two recordings are aligned at the offset that most of their equal integers agree on, and linked if few
 bits differ where they overlap.
 
-Candidates follow from the link rule. Recordings of which one has at most 128 integers can only have 8 equal ones at an
-offset if two of these are no further apart than a seventh of that length: they share a key of two integers and their
-distance. Longer ones share a single integer as key. Integers that one recording alone has make no keys, nor does a recording
-with fewer than 8 others. Each recording is first aligned with the leader of each of its keys; of a key whose recordings are
-then still in different components, blocks of 64 are aligned with blocks of 64.
+Candidates follow from the link rule, by prefixes. An integer's first, second and further occurrences in a recording are
+tokens of their own, so two recordings with 8 equal integers at an offset share 8 tokens. Of the tokens that a recording
+shares with any other, in one order for all from the rarest to the commonest, all but the last 7 are its keys: two recordings
+that share 8 tokens share a key, at every length. Each recording is first aligned with the leader of each of its keys; of a
+key whose recordings are then still in different components, blocks of 64 meet blocks of 64, and the pairs that share 8
+tokens are aligned.
 
 Defined cases: null audio, and audio shorter than a fingerprint's first window, has no integers and is linked with
 nothing; a trailing odd byte is left out; repeated rows are recordings of their own with equal fingerprints; an empty
@@ -27,12 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common
 from .graphs import components
-from .shingle_join import _mix
 
 FRAME, HOP, SPAN = 1024, 256, 16
 BLOCK = 64
-#: Recordings with more integers than this meet by single ones.
-SHORT = 128
 THRESHOLDS = (-0.15, 0.0, 0.15)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -122,41 +120,37 @@ def _printer(batches):
             yield pa.record_batch([rows.column("media_id"), rows.column("row"), pa.array(prints, pa.binary()), pa.array(digests, pa.binary())], ["media_id", "row", "print", "digest"])
 
 
-def _codes(batches):
-    """The different integers of each recording."""
+def tokens(p: np.ndarray) -> np.ndarray:
+    """Of each integer the first, second and further occurrence, as one number: the integer, and how many equal ones come before."""
+    order = np.argsort(p, kind="stable")
+    ranked = p[order]
+    first = np.searchsorted(ranked, ranked, "left")
+    return (ranked.astype(np.uint64) << np.uint64(32) | (np.arange(len(p)) - first).astype(np.uint64)).view(np.int64)
+
+
+def common_tokens(prints: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each recording of a block shares with each other one, in steps of tokens."""
+    every = [tokens(p) for p in prints]
+    kinds, at = np.unique(np.concatenate(every), return_inverse=True)
+    times = np.bincount(at, minlength=len(kinds))
+    held = times[at] > 1
+    at, who = (np.cumsum(times > 1) - 1)[at[held]], np.repeat(np.arange(len(prints)), [len(t) for t in every])[held]
+    out = np.zeros((len(prints), len(prints)), np.float32)
+    for low in range(0, (last := int(at.max(initial=-1)) + 1), 4096):
+        part = (at >= low) & (at < low + 4096)
+        has = np.zeros((len(prints), min(4096, last - low)), np.float32)
+        has[who[part], at[part] - low] = 1
+        out += has @ has.T
+    return out
+
+
+def _tokens(batches):
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             rows = b.slice(i, 1000)
-            codes = [np.unique(np.frombuffer(p, np.uint32)) for p in rows.column("print").to_pylist()]
-            node = np.repeat(rows.column("node").to_numpy(), [len(c) for c in codes])
-            yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate([*codes, np.zeros(0, np.uint32)]).view(np.int32))], ["node", "code"])
-
-
-def keys(p: np.ndarray, shared: np.ndarray, votes: int) -> np.ndarray:
-    """Of two recordings with `votes` equal integers at one offset, at least one key is the same."""
-    ok = np.isin(p, shared)
-    if ok.sum() < votes:
-        return np.zeros(0, np.int64)
-    out = []
-    if votes > 1:
-        for d in range(1, (min(len(p), SHORT) - 1) // (votes - 1) + 1):
-            at = np.flatnonzero(ok[:-d] & ok[d:])
-            out.append(_mix(_mix(p[at].astype(np.uint64) << np.uint64(32) | p[at + d]) + np.uint64(d)))
-    if votes == 1 or len(p) > SHORT:
-        out.append(_mix(p[ok].astype(np.uint64)))
-    return np.unique(np.concatenate([*out, np.zeros(0, np.uint64)])).view(np.int64)
-
-
-def _keyed(votes: int):
-    def go(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                rows = b.slice(i, 200)
-                found = [keys(np.frombuffer(p, np.uint32), np.array(c, np.int32).view(np.uint32), votes) for p, c in zip(rows.column("print").to_pylist(), rows.column("shared").to_pylist(), strict=True)]
-                node = np.repeat(rows.column("node").to_numpy(), [len(k) for k in found])
-                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["node", "key"])
-
-    return go
+            found = [tokens(np.frombuffer(p, np.uint32)) for p in rows.column("print").to_pylist()]
+            node = np.repeat(rows.column("node").to_numpy(), [len(t) for t in found])
+            yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["node", "key"])
 
 
 def _checker(votes: int, errors: float, overlap: float):
@@ -174,12 +168,13 @@ def _blocks(votes: int, errors: float, overlap: float):
         """One block of recordings against another (or itself): links between different components."""
         rows = sorted(zip(t.column("side").to_pylist(), t.column("node").to_pylist(), t.column("comp").to_pylist(), t.column("print").to_pylist(), strict=True))
         rows = [(s, n, c, np.frombuffer(p, np.uint32)) for s, n, c, p in rows]
+        side, node, comp = (np.array([r[i] for r in rows]) for i in range(3))
+        meet = (comp[:, None] != comp) & ((side[:, None] < side) | (side[:, None] == 2) & (side == 2) & (node[:, None] < node))
         a, b = [], []
-        for s, n, c, p in rows:
-            for z, m, d, q in rows:
-                if c != d and (s < z or s == z == 2 and n < m) and linked(p, q, votes, errors, overlap):
-                    a.append(n)
-                    b.append(m)
+        for i, j in zip(*np.nonzero(meet & (common_tokens([r[3] for r in rows]) >= votes)), strict=True):
+            if linked(rows[i][3], rows[j][3], votes, errors, overlap):
+                a.append(rows[i][1])
+                b.append(rows[j][1])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return go
@@ -187,10 +182,11 @@ def _blocks(votes: int, errors: float, overlap: float):
 
 def components_of_prints(nodes: DataFrame, votes: int = 8, errors: float = 0.15, overlap: float = 0.5) -> DataFrame:
     """node, label of the nodes (node, print) that have links, each print being there once."""
-    codes = common.stored(nodes.mapInArrow(_codes, "node long, code int"), "print-codes")
-    several = codes.groupBy("code").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("code")
-    shared = codes.join(several, "code", "left_semi").groupBy("node").agg(F.collect_list("code").alias("shared"))
-    keys = common.stored(nodes.join(shared, "node").mapInArrow(_keyed(votes), "node long, key long"), "print-all-keys")
+    every = common.stored(nodes.mapInArrow(_tokens, "node long, key long"), "print-tokens")
+    times = every.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = every.join(times, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "key")))).alias("ranked"))
+    prefix = ranked.filter(F.size("ranked") >= votes).select("node", F.explode(F.slice("ranked", 1, F.size("ranked") - (votes - 1))).alias("at"))
+    keys = common.stored(prefix.select("node", "at.key"), "print-prefixes")
     lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
     lists = common.stored(keys.join(lead.select("key", "lead"), "key"), "print-keys")
     check = _checker(votes, errors, overlap)

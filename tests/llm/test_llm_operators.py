@@ -189,6 +189,27 @@ def test_audio_noisy_copies(spark):
     assert [label.index(x) for x in label] == want
 
 
+def test_audio_few_different_integers(spark):
+    """Recordings made of few integers, silent ones and near copies, against all pairs."""
+    rng = np.random.default_rng(3)
+    prints = [np.zeros(n, np.uint32) for n in (5, 8, 30)]
+    for n, kinds in ((12, 3), (40, 4), (40, 30), (150, 6), (60, 60)):
+        base = rng.integers(0, 2**32, kinds, dtype=np.uint32)[rng.integers(0, kinds, n)]
+        other = base.copy()
+        other[rng.random(n) < 0.3] ^= np.uint32(1)
+        prints += [base, other, rng.permutation(base), base[n // 3 :]]
+    want = list(range(len(prints)))
+    for _ in prints:
+        for i in range(len(prints)):
+            for j in range(i):
+                if audio.linked(prints[j], prints[i], 8, 0.15, 0.5):
+                    want[i] = want[j] = min(want[i], want[j])
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "node long, print binary").repartition(3)
+    got = dict(audio.components_of_prints(nodes).collect())
+    label = [got.get(i, i) for i in range(len(prints))]
+    assert [label.index(x) for x in label] == want and len(set(want)) > 5
+
+
 # 4
 
 
