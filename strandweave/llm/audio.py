@@ -163,19 +163,37 @@ def _checker(votes: int, errors: float, overlap: float):
     return check
 
 
+def _block_links(rows: list[tuple], votes: int, errors: float, overlap: float) -> list[tuple[int, int]]:
+    """Of (side, node, comp, print) rows of one block against another (or itself): links between different components."""
+    side, node, comp = (np.array([r[i] for r in rows]) for i in range(3))
+    meet = (comp[:, None] != comp) & ((side[:, None] < side) | (side[:, None] == 2) & (side == 2) & (node[:, None] < node))
+    if not meet.any():
+        return []
+    prints = [np.frombuffer(r[3], np.uint32) for r in rows]
+    near = zip(*np.nonzero(meet & (common_tokens(prints) >= votes)), strict=True)
+    return [(rows[i][1], rows[j][1]) for i, j in near if linked(prints[i], prints[j], votes, errors, overlap)]
+
+
 def _blocks(votes: int, errors: float, overlap: float):
-    def go(key, t):
-        """One block of recordings against another (or itself): links between different components."""
-        rows = sorted(zip(t.column("side").to_pylist(), t.column("node").to_pylist(), t.column("comp").to_pylist(), t.column("print").to_pylist(), strict=True))
-        rows = [(s, n, c, np.frombuffer(p, np.uint32)) for s, n, c, p in rows]
-        side, node, comp = (np.array([r[i] for r in rows]) for i in range(3))
-        meet = (comp[:, None] != comp) & ((side[:, None] < side) | (side[:, None] == 2) & (side == 2) & (node[:, None] < node))
-        a, b = [], []
-        for i, j in zip(*np.nonzero(meet & (common_tokens([r[3] for r in rows]) >= votes)), strict=True):
-            if linked(rows[i][3], rows[j][3], votes, errors, overlap):
-                a.append(rows[i][1])
-                b.append(rows[j][1])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def links(group: list[tuple]) -> pa.RecordBatch:
+        found = _block_links(group, votes, errors, overlap)
+        return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    def go(batches):
+        """Rows come sorted by block, which may go on in the next batch; one block is held at a time."""
+        at, group = None, []
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                key, i, j, *rest = (part.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "comp", "print"))
+                for block, row in zip(zip(key, i, j, strict=True), zip(*rest, strict=True), strict=True):
+                    if block != at:
+                        if len(group) > 1:
+                            yield links(group)
+                        at, group = block, []
+                    group.append(row)
+        if len(group) > 1:
+            yield links(group)
 
     return go
 
@@ -199,7 +217,8 @@ def components_of_prints(nodes: DataFrame, votes: int = 8, errors: float = 0.15,
     open_ = known.join(counts.select("key", F.ceil(F.col("n") / BLOCK).alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     met = met.select("key", "node", "comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = met.join(only, "node").groupBy("key", "i", "j").applyInArrow(_blocks(votes, errors, overlap), "a long, b long").distinct()
+    blocks = met.join(only, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = blocks.select("key", "i", "j", "side", "node", "comp", "print").mapInArrow(_blocks(votes, errors, overlap), "a long, b long").distinct()
     return components(found.unionByName(common.stored(more, "print-links")))
 
 
