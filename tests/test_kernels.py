@@ -56,6 +56,17 @@ def test_extension_finds_the_overlap():
     assert k.extend(a, c, [(140, 20, 20)]).mismatches == 1
 
 
+def test_extend_over_gaps_at_the_ends():
+    rng = random.Random(5)
+    b = dna(rng, 300)
+    for gap in (1, 3, 6):
+        for a, c in ((b[:200] + b[200 + gap :], b), (b, b[:200] + b[200 + gap :]), (b[: 260 + gap][gap:], b[:200] + b[200 + gap : 290])):
+            at = c.index(a[100:122])
+            x = k.extend(a, c, [(100, at, 22)])
+            assert x.mismatches <= gap and x.a_end <= len(a) and x.b_end <= len(c) and (x.a_end == len(a) or x.b_end == len(c))
+    assert k.extend(b[:100], b[:100], [(40, 40, 22)]).length == 100
+
+
 def test_qgrams():
     rng = random.Random(2)
     a = dna(rng, 150)
@@ -94,6 +105,28 @@ def test_cluster_graph():
     assert refine.remove_contained({1, 2}, {1: {2: both}}) == {2}
 
 
+def test_swaps_look_at_every_pair():
+    """Eighty nodes a side: the ones that gain most are neighbours, so that the best swap isn't among the first. Against all pairs."""
+    rng = random.Random(6)
+    for _ in range(3):
+        adjacent = {n: {} for n in range(160)}
+        for a in range(160):
+            for b in range(a):
+                if rng.random() < (0.9 if (a < 80) != (b < 80) and a % 80 < 70 and b % 80 < 70 else 0.1):
+                    adjacent[a][b] = adjacent[b][a] = float(rng.randint(1, 9))
+        side = {n: int(n >= 80) for n in adjacent}
+        after = partition.kernighan_lin(dict.fromkeys(side, 1), adjacent, side, patience=1)
+        want, free = dict(side), set(side)
+        while True:
+            gain = {n: sum(w if want[m] != want[n] else -w for m, w in adjacent[n].items()) for n in want}
+            g, a, b = max((gain[a] + gain[b] - 2 * adjacent[a].get(b, 0), -a, -b) for a in free for b in free if want[a] < want[b])
+            if g <= 0:
+                break
+            want[-a], want[-b] = 1, 0
+            free -= {-a, -b}
+        assert after == want
+
+
 def test_bisection_of_two_cliques():
     adjacent = {a: {b: 10.0 for b in range(5) if b != a} for a in range(5)}
     adjacent |= {a: {b: 10.0 for b in range(5, 10) if b != a} for a in range(5, 10)}

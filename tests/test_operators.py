@@ -164,6 +164,14 @@ def test_matching_and_levels(spark):
     assert {r.part for r in parts[0].select("part").distinct().collect()} <= {0, 1, 2, 3}
 
 
+def test_projection_deals_nodes_without_parent(spark):
+    parts = frame(spark, [(10, 0), (11, 3)], "node long, part long")
+    mapping = frame(spark, [(1, 10), (2, 11), (3, 12)], "child long, parent long")
+    got = dict(partition.project(parts, mapping, frame(spark, [(i,) for i in range(1, 60)], "node long"), 4).collect())
+    assert got[1] == 0 and got[2] == 3 and sorted(got) == list(range(1, 60)) and set(got.values()) == {0, 1, 2, 3}
+    assert dict(partition.project(parts, mapping).collect()) == {1: 0, 2: 3}
+
+
 def test_assembly(spark, tiles):
     genome, rows = tiles
     edges = stored(overlap.overlaps(rows), "ov")
