@@ -195,3 +195,26 @@ def test_sections_and_contained(spark):
     paths = frame(spark, [(0, 0, 0), (0, 1, 1)], "path_id long, pos long, node long")
     halves = frame(spark, [(0, g[:700]), (1, g[640:])], "contig long, seq string")
     assert [r.seq for r in contigs.stitch_paths(paths, halves).collect()] == [g]
+
+
+def test_own_words_are_sent_as_stretches(spark, monkeypatch):
+    """The packed exchange gives the rows of the plain joins, long lists in pieces, in few bytes a word."""
+    rng = random.Random(5)
+    monkeypatch.setattr(kmers, "LISTED", 3)
+    made = ["".join(rng.choices("ACGT", k=n)) for n in [*[400] * 60, 22, 23, 5, 0]]
+    made += [made[i % 7][i : i + 150] for i in range(80)] + ["ACGT" * 30]
+    own = spark.createDataFrame([(i * 100000, s) for i, s in enumerate(made)] + [(None, made[0]), (7, None)], "read_id long, seq string")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    query, words = kmers.shared_words(kmers.seeds(own), kmers.reference_words(own))
+    query = kmers.without_repeats(query, kmers.frequencies(words))
+    seeds, lists = kmers.own_words(own)
+    kept = kmers.without_repeats(seeds)
+    columns = ["read_id", "pos", "word", "hits"]
+    assert plain(kept.select(columns)) == plain(query.select(columns))
+    found = kmers.matches(query, words).filter("q < r")
+    assert plain(kmers.own_diagonals(kept, lists)) == plain(kmers.diagonals(found))
+    assert plain(kmers.own_merged(kept, lists)) == plain(kmers.merge_seeds(found))
+    assert found.count() > 100
+    sent = own.filter("read_id is not null").mapInArrow(kmers._stretches(22, 11, 5, None, 1), kmers.packed.SCHEMA)
+    total = sum(len(r.blob) for r in sent.collect())
+    assert total < 3 * sum(max(0, len(s) - 21) for s in made)  # a row of its own takes 20 bytes
