@@ -274,6 +274,26 @@ def test_encoder_equals_the_library():
         assert not e.chunked and e.encode(["Some text", None])[0]
 
 
+def test_encoder_cuts_runs_of_marks_off_and_keeps_common_words():
+    rng = random.Random(1)
+    parts = ["a", "é", "É", "×", "÷", "ñ", "中", "7", "'", "'ll", "%%%", ".", ",", "_", "-", " ", " ", "\n", "&" * 70]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 15))) for _ in range(3000)]
+    t = Tokenizer.from_file(BPE)
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for kept in (10**6, 10):
+        e = tokens.Encoder(BPE, kept)
+        assert [x for i in range(0, 3000, 100) for x in e.encode(texts[i : i + 100])] == want
+    e = tokens.Encoder(BPE)
+    e.encode(["word word. word.%%% word*** añé,*** a×**"])
+    assert set(e.index) == {x.encode() for x in ("word", "añé", "a×**", "\n", ".", ".%%%", "***", ",***")}
+    e, met = tokens.Encoder(BPE, 20), []
+    learn = e._learn
+    e._learn = lambda keys, words, prefix: (met.extend(words), learn(keys, words, prefix))
+    for i in range(12):
+        e.encode([" ".join(["common", *(f"w{i}x{j}" for j in range(9))])])
+    assert met.count(b"common") == 1 and len(met) == 1 + 12 * 9 and len(e.index) < 60
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 5000):
