@@ -3,6 +3,8 @@
 import random
 import time
 
+import numpy as np
+
 from strandweave.functions import align as k
 from strandweave.operators import contigs, partition, refine
 
@@ -68,6 +70,33 @@ def test_extend_over_gaps_at_the_ends():
     assert k.extend(b[:100], b[:100], [(40, 40, 22)]).length == 100
 
 
+def test_many_pairs_as_each_alone():
+    rng, cases = random.Random(5), []
+    while len(cases) < 400:
+        base = "".join(rng.choices("ACGT" if rng.random() < 0.7 else "AC", k=rng.choice([30, 80, 200])))
+        a, b = base[rng.randrange(10) : rng.randrange(25, len(base) + 1)], base[rng.randrange(len(base) - 20) :]
+        rate = rng.choice([0, 0.01, 0.03, 0.1])
+        b = "".join(c if rng.random() > rate else rng.choice(["", c + rng.choice("ACGT"), rng.choice("ACGT")]) for c in b)
+        b = "".join(rng.choices("ACGT", k=rng.choice([0, 0, 5, 60]))) + b + "".join(rng.choices("ACGT", k=rng.choice([0, 0, 5, 60])))
+        a, b = (a, b) if rng.random() < 0.5 else (b, a)
+        if seeds := k.chain([(i, j, 8) for i in range(0, len(a) - 8, 5) if (j := b.find(a[i : i + 8])) >= 0]):
+            cases.append((a, b, seeds))
+    raw = np.frombuffer("".join(a + b for a, b, _ in cases).encode(), np.uint8)
+    n, m = (np.array([len(c[i]) for c in cases]) for i in range(2))
+    at = np.cumsum(n + m) - n - m
+    upto = np.concatenate([[0], np.cumsum([len(c) for *_, c in cases])])
+    q, r, w = (np.array([s[i] for *_, c in cases for s in c]) for i in range(3))
+    each = [k.extend(a, b, c, 90.0) for a, b, c in cases]
+    want = [(x.length, x.mismatches, x.a_start, x.a_end, x.b_start, x.b_end) for x in each]
+    assert list(zip(*(v.tolist() for v in k.extend_many(raw, at, n, at + n, m, upto, q, r, w, 90.0)), strict=True)) == want
+    x, y = np.maximum(0, (q - r)[upto[:-1]]), np.maximum(0, (r - q)[upto[:-1]])
+    want = [k.passes_qgrams(a[i:][: len(b)], b[j:], 90.0) for (a, b, _), i, j in zip(cases, x.tolist(), y.tolist(), strict=True)]
+    assert 0 < sum(want) < len(want)
+    assert k.passes_qgrams_many(raw, at + x, np.minimum(n - x, m), at + n + y, m - y, 90.0).tolist() == want
+    none = np.zeros(0, np.int64)
+    assert not any(len(v) for v in k.extend_many(np.zeros(0, np.uint8), none, none, none, none, np.zeros(1, np.int64), none, none, none))
+
+
 def test_qgrams():
     rng = random.Random(2)
     a = dna(rng, 150)
