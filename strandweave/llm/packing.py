@@ -238,6 +238,8 @@ def _placer(layout: dict[int, tuple]):
     """Finds each piece's sequence and place there by its length and rank."""
 
     def place(batches):
+        common.cache("places")  # the encoder goes: it isn't asked any more
+        common.give_back()
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)

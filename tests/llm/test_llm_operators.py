@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from strandweave.llm import audio, language_id, mixing, neighbours, packing, queries, shingle_join, suffix_dedup, token_cache, token_files, tokens, url_filter
+from strandweave.llm import audio, common, language_id, mixing, neighbours, packing, queries, shingle_join, suffix_dedup, token_cache, token_files, tokens, url_filter
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, size string, row string"
@@ -294,6 +295,28 @@ def test_encoder_cuts_runs_of_marks_off_and_keeps_common_words():
     assert met.count(b"common") == 1 and len(met) == 1 + 12 * 9 and len(e.index) < 60
 
 
+def test_encoder_takes_bounded_memory_and_is_dropped_by_the_placer():
+    texts = [" ".join(f"w{i % 500}" for i in range(j, j + 2000)) for j in range(500)]
+    e = tokens.Encoder(BPE)
+    e.encode(texts[:3])
+    tracemalloc.start()
+    for _ in e.steps(texts):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50_000_000
+    tokens.encoder(BPE)
+    assert list(packing._placer({})(iter([]))) == [] and "tokens" not in common._CACHES
+
+
+def test_encoder_finds_odd_texts_among_others():
+    odd = ["a\tb", "a\u0085b", "a\u00a0b", "\u1680", "a\u2003", "\u2028b", "a\u3000", "<|endoftext|>", "\x1d"]
+    plain = ["¿a?", "â", "“a”", "中。", "á\u0300", "", "a b\nc", "ends with Â", "ends with ã"]
+    e = tokens.Encoder(BPE)
+    texts = [t for pair in zip(odd, plain, strict=True) for t in pair]
+    assert [texts[i] for i in e._odd(texts, [t.encode() for t in texts])] == odd
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 5000):
