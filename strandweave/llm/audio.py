@@ -8,9 +8,9 @@ bits differ where they overlap.
 Candidates follow from the link rule, by prefixes. An integer's first, second and further occurrences in a recording are
 tokens of their own, so two recordings with 8 equal integers at an offset share 8 tokens. Of the tokens that a recording
 shares with any other, in one order for all from the rarest to the commonest, all but the last 7 are its keys: two recordings
-that share 8 tokens share a key, at every length. Each recording is first aligned with the leader of each of its keys; of a
-key whose recordings are then still in different components, blocks of 64 meet blocks of 64, and the pairs that share 8
-tokens are aligned.
+that share 8 tokens share a key, at every length. Each recording is first aligned with the leader of each of its keys,
+which settles a key of two; of a longer one whose recordings are then still in different components, blocks of 64 meet blocks
+of 64, and the pairs that share 8 tokens are aligned.
 
 Defined cases: null audio, and audio shorter than a fingerprint's first window, has no integers and is linked with
 nothing; a trailing odd byte is left out; repeated rows are recordings of their own with equal fingerprints; an empty
@@ -198,6 +198,12 @@ def _blocks(votes: int, errors: float, overlap: float):
     return go
 
 
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """key, node, comp of the keys that more than two recordings have: the two of another key have been compared by now."""
+    some = lists.filter("n > 2").select("key", "node")
+    return some.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+
+
 def components_of_prints(nodes: DataFrame, votes: int = 8, errors: float = 0.15, overlap: float = 0.5) -> DataFrame:
     """node, label of the nodes (node, print) that have links, each print being there once."""
     every = common.stored(nodes.mapInArrow(_tokens, "node long, key long"), "print-tokens")
@@ -205,14 +211,14 @@ def components_of_prints(nodes: DataFrame, votes: int = 8, errors: float = 0.15,
     ranked = every.join(times, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "key")))).alias("ranked"))
     prefix = ranked.filter(F.size("ranked") >= votes).select("node", F.explode(F.slice("ranked", 1, F.size("ranked") - (votes - 1))).alias("at"))
     keys = common.stored(prefix.select("node", "at.key"), "print-prefixes")
-    lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    lists = common.stored(keys.join(lead.select("key", "lead"), "key"), "print-keys")
+    lead = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    lists = common.stored(keys.join(lead, "key"), "print-keys")
     check = _checker(votes, errors, overlap)
     only = nodes.select("node", "print")
     pairs = lists.filter("node <> lead").select("node", "lead").distinct().join(only, "node").withColumnRenamed("print", "x").join(only.withColumnsRenamed({"node": "lead", "print": "y"}), "lead")
     found = common.stored(pairs.filter(check("x", "y")).select(F.col("node").alias("a"), F.col("lead").alias("b")), "print-links")
     label = components(found)
-    known = lists.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    known = _labelled(lists, label)
     counts = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
     open_ = known.join(counts.select("key", F.ceil(F.col("n") / BLOCK).alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))

@@ -211,6 +211,20 @@ def test_audio_few_different_integers(spark):
     assert [label.index(x) for x in label] == want and len(set(want)) > 5
 
 
+def test_audio_keys_of_two_recordings_are_settled_by_their_pair(spark, monkeypatch):
+    """Only keys of three recordings and more are labelled; a pair of unlinked recordings is not compared once more."""
+    rng = np.random.default_rng(9)
+    shared, more = (rng.integers(0, 2**32, 9, dtype=np.uint32) for _ in range(2))
+    alone = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    prints = [np.concatenate([shared, alone(90)]), np.concatenate([alone(90), shared])]
+    prints += [np.concatenate(x) for x in ([more, alone(90)], [alone(40), more, alone(50)], [alone(90), more])]
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "node long, print binary")
+    met, labelled = [], audio._labelled
+    monkeypatch.setattr(audio, "_labelled", lambda *x: (met.append(labelled(*x)), met[-1])[1])
+    assert audio.components_of_prints(nodes).count() == 0
+    assert {r.node for r in met[0].collect()} == {2, 3, 4}
+
+
 # 4
 
 
