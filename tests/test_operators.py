@@ -218,3 +218,31 @@ def test_own_words_are_sent_as_stretches(spark, monkeypatch):
     sent = own.filter("read_id is not null").mapInArrow(kmers._stretches(22, 11, 5, None, 1), kmers.packed.SCHEMA)
     total = sum(len(r.blob) for r in sent.collect())
     assert total < 3 * sum(max(0, len(s) - 21) for s in made)  # a row of its own takes 20 bytes
+
+
+@pytest.mark.parametrize("odd", ["", "long", "repeated"])
+def test_own_runs_send_no_match(spark, monkeypatch, odd):
+    """Runs found where they begin are those of the matches, and what is sent grows with the reads only."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("ACGT", k=260))
+    made = ["".join(rng.choices("ACGT", k=rng.randrange(90))) + passage[rng.randrange(60) : 100 + rng.randrange(160)] for _ in range(150)]
+    made += [x[:70] + rng.choice("ACGT") + x[71:] for x in made[:40]] + [passage[:150]] * 30 + ["ACGT" * 30, passage[:22], passage[:23], "", "NN" + passage.lower()]
+    rows = [(i * 100000 - 500000, s) for i, s in enumerate(made)] + [(None, passage), (-7, None)]
+    rows += [(3, passage * 5)] if odd == "long" else [(0, made[0]), (0, made[5]), (100000, passage)] if odd == "repeated" else []
+    own = spark.createDataFrame(rows, "read_id long, seq string").repartition(3)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    seeds, words = kmers.own_words(own)
+    kept = kmers.without_repeats(seeds)
+    want = plain(kmers.own_merged(kept, words))
+    assert len(want) > 10_000
+    assert plain(kmers.own_runs(own)) == want
+    monkeypatch.setattr(kmers, "SPLIT", 20)
+    monkeypatch.setattr(kmers, "STRETCHES", 50)
+    assert plain(kmers.own_runs(own)) == want
+    monkeypatch.undo()
+    if not odd:
+        long_enough = own.filter("read_id is not null and length(seq) >= 22").select("read_id", dna.bases(kmers.F.col("seq")).alias("seq"))
+        both = long_enough.unionByName(words.select("hits", "ids", "places"), allowMissingColumns=True)
+        sent = both.mapInArrow(kmers._sender(4), kmers.packed.SCHEMA)
+        dealt = sent.repartition(1).mapInArrow(kmers._surroundings(22, 11, 5, 4), kmers.packed.SCHEMA)
+        assert sum(len(r.blob) for df in (sent, dealt) for r in df.collect()) < 10 * len(want)  # a run of its own takes 40 bytes, and is several matches
