@@ -242,7 +242,7 @@ def test_own_runs_send_no_match(spark, monkeypatch, odd):
     monkeypatch.undo()
     if not odd:
         long_enough = own.filter("read_id is not null and length(seq) >= 22").select("read_id", dna.bases(kmers.F.col("seq")).alias("seq"))
-        both = long_enough.unionByName(words.select("hits", "ids", "places"), allowMissingColumns=True)
-        sent = both.mapInArrow(kmers._sender(4), kmers.packed.SCHEMA)
+        words = long_enough.mapInArrow(kmers._stretches(22, 11, 5, None, 4), kmers.packed.SCHEMA).repartition(1).mapInArrow(kmers._words_home(22, 4), kmers.packed.SCHEMA)
+        sent = long_enough.mapInArrow(kmers._reads_home(4), kmers.packed.SCHEMA).unionByName(words)
         dealt = sent.repartition(1).mapInArrow(kmers._surroundings(22, 11, 5, 4), kmers.packed.SCHEMA)
         assert sum(len(r.blob) for df in (sent, dealt) for r in df.collect()) < 10 * len(want)  # a run of its own takes 40 bytes, and is several matches
