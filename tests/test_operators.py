@@ -246,3 +246,23 @@ def test_own_runs_send_no_match(spark, monkeypatch, odd):
         sent = long_enough.mapInArrow(kmers._reads_home(4), kmers.packed.SCHEMA).unionByName(words)
         dealt = sent.repartition(1).mapInArrow(kmers._surroundings(22, 11, 5, 4), kmers.packed.SCHEMA)
         assert sum(len(r.blob) for df in (sent, dealt) for r in df.collect()) < 10 * len(want)  # a run of its own takes 40 bytes, and is several matches
+
+
+def test_small_levels_in_one_task(spark):
+    """Levels and parts of a small graph come in a few jobs, and are those of the rounds of joins; a level of joins may be below."""
+    rng = random.Random(3)
+    pairs = {(a, b): rng.randrange(5, 60) for a in range(24) for b in (rng.randrange(24) for _ in range(3)) if a < b}
+    both = [(a, b, w, rng.random() < 0.2, rng.random() < 0.2, rng.random() < 0.5) for (x, y), w in pairs.items() for a, b in ((x, y), (y, x))]
+    edges = frame(spark, both, "src long, dst long, weight long, s_contained boolean, d_contained boolean, r_dovetail boolean")
+    nodes = frame(spark, [(i, rng.randrange(3), rng.randrange(9)) for i in range(24)], "node long, n_den long, e_den long")
+    got = {}
+    for small in (0, len(both) - 1, None):
+        spark.sparkContext.setJobGroup(f"levels {small}", "")
+        levels = coarsen.coarsen(edges, nodes, 10, 1.0, 0.2, step=2, small=small)
+        parts = partition.distribute(levels, 4)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"levels {small}"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert (levels.small and levels.small[0]) == {0: None, None: 0}.get(small, 1)
+        got[small] = [sorted(map(tuple, x.select(*sorted(x.columns)).collect())) for x in (*levels.nodes, *levels.edges, *levels.maps, *parts)]
+        assert len(levels.maps) > 1 and (small is not None or jobs < 30)
+    assert got[0] == got[None] == got[len(both) - 1]
