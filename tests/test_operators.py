@@ -266,3 +266,31 @@ def test_small_levels_in_one_task(spark):
         got[small] = [sorted(map(tuple, x.select(*sorted(x.columns)).collect())) for x in (*levels.nodes, *levels.edges, *levels.maps, *parts)]
         assert len(levels.maps) > 1 and (small is not None or jobs < 30)
     assert got[0] == got[None] == got[len(both) - 1]
+
+
+@pytest.mark.parametrize("odd", ["", "long", "repeated"])
+def test_own_counts_send_no_match(spark, monkeypatch, odd):
+    """Diagonals counted where they begin are those of the matches, with gaps in them; no exchange grows with the matches."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("ACGT", k=260))
+    made = ["".join(rng.choices("ACGT", k=rng.randrange(90))) + passage[rng.randrange(60) : 100 + rng.randrange(160)] for _ in range(120)]
+    made += [x[:60] + rng.choice("ACGT") + x[61:] for x in made[:60]] + [passage[:150]] * 30 + [passage[:22], passage[:23], "", "ACGT" * 30]
+    rows = [(i * 100000 - 500000, s) for i, s in enumerate(made)] + [(None, passage), (-7, None)]
+    rows += [(3, passage * 5)] if odd == "long" else [(0, made[0]), (0, made[5])] if odd == "repeated" else []
+    own = spark.createDataFrame(rows, "read_id long, seq string").repartition(3)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    seeds, words = kmers.own_words(own)
+    want = plain(kmers.own_diagonals(kmers.without_repeats(seeds), words))
+    assert len(want) > 8_000 and len({x[3] for x in want}) > 5
+    if not odd:
+        monkeypatch.setattr(kmers, "own_matches", None)
+    assert plain(kmers.own_counts(own)) == want
+    monkeypatch.setattr(kmers, "SPLIT", 20)
+    assert plain(kmers.own_counts(own)) == want
+
+
+def test_seed_candidates_sends_no_match(spark, monkeypatch):
+    from strandweave.plans.registry import QUERIES
+
+    monkeypatch.setattr(kmers, "own_matches", None)
+    assert QUERIES["seed_candidates"](spark, "/root/testdata/sf0.001").count() == 2245
