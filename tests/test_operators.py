@@ -294,3 +294,25 @@ def test_seed_candidates_sends_no_match(spark, monkeypatch):
 
     monkeypatch.setattr(kmers, "own_matches", None)
     assert QUERIES["seed_candidates"](spark, "/root/testdata/sf0.001").count() == 2245
+
+
+@pytest.mark.parametrize("odd", ["", "long", "repeated", "letters"])
+def test_overlaps_send_no_pair(spark, monkeypatch, odd):
+    """Pairs aligned where they meet give the edges of the exchanged ones, repeated words and several diagonals included."""
+    rng = random.Random(11)
+    genome = letters(rng, 500)
+    made = [genome[(at := rng.randrange(350)) : at + 150] for _ in range(60)]
+    made += [x[:70] + rng.choice("ACGT") + x[71:] for x in made[:20]] + [x[:40] + x[45:] for x in made[:20]] + [made[0]] * 5 + [made[1][:60] * 2 + made[1][60:90]] * 3
+    rows = [(i * 100000 - 3000000, s) for i, s in enumerate(made)] + [(None, made[0]), (-7, None), (-9, "ACGT")]
+    rows += {"": [], "long": [(3, genome * 3)], "repeated": [(0, made[0]), (0, made[5])], "letters": [(3, made[3][:80] + "N" + made[3][81:])]}[odd]
+    own = spark.createDataFrame(rows, "read_id long, seq string").repartition(3)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(kmers, "own_aligned", lambda *_: None)
+        want = plain(overlap.overlaps(own))
+    assert len(want) > 1000
+    if not odd:
+        monkeypatch.setattr(kmers, "own_matches", None)
+    assert plain(overlap.overlaps(own)) == want
+    monkeypatch.setattr(kmers, "SPLIT", 20)
+    assert plain(overlap.overlaps(own)) == want
