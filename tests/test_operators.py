@@ -316,3 +316,12 @@ def test_overlaps_send_no_pair(spark, monkeypatch, odd):
     assert plain(overlap.overlaps(own)) == want
     monkeypatch.setattr(kmers, "SPLIT", 20)
     assert plain(overlap.overlaps(own)) == want
+
+
+def test_words_are_deleted_before_reads_are_sent(spark, monkeypatch):
+    """Places of shared words are stored, and the driver collects its garbage, while nothing behind has been sent."""
+    seen, real = [], kmers.stored
+    monkeypatch.setattr(kmers, "stored", lambda df, name, free=False: (seen.append((name, free)), real(df, name, free))[1])
+    own = frame(spark, [(i, letters(random.Random(4), 150)) for i in range(3)], "read_id long, seq string")
+    assert kmers.own_runs(own).count() == 3
+    assert seen == [("reads", True), ("places", True)]
